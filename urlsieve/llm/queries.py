@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, packing, quality_rules, token_counts, url_filter
+from . import decontaminate, html_text, line_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filter
 
 #: Fixed values of the url rules: verdict, host, path.
 RULES = (
@@ -42,6 +42,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(documents).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -67,6 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
