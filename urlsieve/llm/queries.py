@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, packing, quality_rules, suffix_dedup, token_counts, url_filter
+from . import decontaminate, html_text, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filter
 
 #: Fixed values of the url rules: verdict, host, path.
 RULES = (
@@ -46,6 +46,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(documents).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
@@ -81,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_WORDS4 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 ORACLE: dict[str, str] = {
     "op2_decontaminate": f"""
 with items as (select item_id, {_WORDS2.format(t="text")} w from benchmark),
@@ -97,6 +104,21 @@ found as (select rid, count(*) n, array_to_string(list(s order by s), ',') ids f
 select doc_id, len(w)::bigint n_words, coalesce(words.n, 0)::bigint n_hit, coalesce(found.n, 0)::bigint n_items,
   sha256(coalesce(found.ids, '')) items_sha256, coalesce(words.n, 0) > 0 contaminated
 from docs left join words using (rid) left join found using (rid)
+""",
+    "op4_ngram_join": f"""
+with recursive docs as (select row_number() over () rid, doc_id, {_WORDS4} w from documents),
+sets as (
+  select distinct rid, s from (
+    select rid, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end s
+    from (select rid, w, unnest(range(1, greatest(len(w) - 3, 2))) i from docs where len(w) > 0))),
+sizes as (select rid, count(*) n from sets group by rid),
+met as (select a.rid x, b.rid y, count(*) c from sets a join sets b on a.s = b.s and a.rid < b.rid group by a.rid, b.rid),
+links as (
+  select x, y from met join sizes p on p.rid = x join sizes q on q.rid = y where 100 * c >= 80 * (p.n + q.n - c)),
+twoway as (select x, y from links union all select y, x from links),
+reach as (select rid a, rid b from docs union select a, y from reach join twoway on x = b)
+select d.doc_id, coalesce(any_value(sizes.n), 0)::bigint n_shingles, min(e.doc_id) component_id
+from docs d left join sizes on sizes.rid = d.rid join reach on a = d.rid join docs e on e.rid = b group by d.rid, d.doc_id
 """,
     "op5_line_dedup": r"""
 with lines as (
