@@ -4,13 +4,14 @@ Every string of ``min_bytes`` (L) that starts at two places is removed from both
 would sort a rank pair for each byte of the corpus nine times over; here ranks are kept for the few positions that decide:
 
 * A position is sampled when the hash of the ``k`` bytes at it (k about L / 7) is least within some window of w = L - k + 1
-  positions.  Each string of L bytes has such a position inside, at the same place in every copy.  Its rank is the name
-  of those k bytes; positions whose rank is unique drop out at once, and with them all L-byte strings around them.
+  positions.  Each string of L bytes has such a position inside, at the same place in every copy.  The strings around it
+  fall into two halves, by their start; those of a half share the k bytes and half of the rest on one side.  The name of
+  these bytes is the half's first rank; halves whose rank is unique drop out at once, with all their L-byte strings.
 * Rounds then extend the ranked strings towards L bytes.  A node is a sampled position with a range of start offsets.  The
-  bytes that all starts of the range share (its core) grow each round, as the range is cut in eight; the rank pair
+  bytes that all starts of the range share (its core) grow each round, as the range is cut in four; the rank pair
   (old core, added bytes) is named by a 128-bit hash of the longer core, and Spark groups the names: a unique core drops
   out; a repeated union (all bytes that the range's strings cover together) settles the whole range as repeated, and one
-  of each such union stays to be compared with; the rest goes into the next round.  After four rounds ranges hold one start, and core and union are the L bytes themselves.
+  of each such union stays to be compared with; the rest goes into the next round.  After five rounds ranges hold one start, and core and union are the L bytes themselves.
 
 Equal texts are ranked once, as one text; texts of L bytes or more that occur twice are removed whole.  A name counts as
 repeated if the least and greatest hash of its places differ, so no group is ever gathered.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textbytes as tb
 
-MIN_BYTES, PARTS = 400, 8
+MIN_BYTES, PARTS = 400, 4
 
 
 def shape(min_bytes: int) -> tuple[int, int]:
@@ -51,21 +52,24 @@ def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     return op(a[: len(a) - (w - span)], a[w - span :]) if span < w else a
 
 
-def sample(data: np.ndarray, offsets: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions of all rows together, and the 64-bit rank of each."""
+def halves(min_bytes: int) -> tuple[tuple[int, int], ...]:
+    """Start offsets of the two halves around a sampled position."""
+    w = shape(min_bytes)[1]
+    return ((0, w // 2 - 1), (w // 2, w - 1)) if w > 1 else ((0, 0),)
+
+
+def sample(data: np.ndarray, offsets: np.ndarray, ranges: tb.RangeHash, min_bytes: int) -> np.ndarray:
+    """Sampled positions of all rows together."""
     k, w = shape(min_bytes)
     n = len(data)
     if n < min_bytes:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ranges = tb.RangeHash(data)
-    rank = tb.mix((ranges.sums[k:] - ranges.sums[:-k]) * ranges.down[: n - k + 1])
-    low = (rank >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return np.zeros(0, np.int64)
+    low = (tb.mix((ranges.sums[k:] - ranges.sums[:-k]) * ranges.down[: n - k + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = sliding(low, w, np.minimum)
     end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     least[end - np.arange(len(least)) < min_bytes] = 0
     pad = np.zeros(w - 1, np.uint32)
-    at = np.flatnonzero(sliding(np.concatenate((pad, least, pad)), w, np.maximum) == low)
-    return at, rank[at]
+    return np.flatnonzero(sliding(np.concatenate((pad, least, pad)), w, np.maximum) == low)
 
 
 def children(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,23 +98,34 @@ def names(body: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, min
 
 
 def _sampled(texts: DataFrame, min_bytes: int) -> DataFrame:
+    """``t, pos, half, k1``: the first rank of each half of each sampled position."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.text_bytes(batch.column(1))
             for a, b in tb.chunks(offsets):
-                base = offsets[a]
-                at, rank = sample(data[base : offsets[b]], offsets[a : b + 1] - base, min_bytes)
-                row = tb.row_of(at + base, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at + base - offsets[row], pa.int32()), pa.array(rank.view(np.int64))], names=["tid", "pos", "rank"])
+                part, edge = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                ranges = tb.RangeHash(part)
+                at = sample(part, edge, ranges, min_bytes)
+                row = tb.row_of(at, edge)
+                for half, (lo, hi) in enumerate(halves(min_bytes)):
+                    start, end = at - lo, at - hi + min_bytes
+                    ok = (start >= edge[row]) & (end <= edge[row + 1])
+                    name = tb.mix(ranges(start[ok], end[ok]) + np.uint64(half))
+                    own = row[ok]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(own + a)), pa.array(at[ok] - edge[own], pa.int32()), pa.array(np.full(len(own), half), pa.int32()), pa.array(name.view(np.int64))],
+                        names=["t", "pos", "half", "k1"],
+                    )
 
-    return texts.mapInArrow(run, "tid binary, pos int, rank long")
+    return texts.mapInArrow(run, "t long, pos int, half int, k1 long")
 
 
-_NODE = "tid binary, pos int, lo int, hi int, prop boolean, c1 long, c2 long, u1 long, u2 long, whole boolean"
+_NODE = "t long, pos int, lo int, hi int, prop boolean, c1 long, c2 long, u1 long, u2 long, whole boolean"
 
 
 def _ranked(state: DataFrame, min_bytes: int, first: bool) -> DataFrame:
-    """The nodes of the next round with their names. ``state``: tid, text, and arrays (``pos, lo, hi, prop``)."""
+    """The nodes of the next round with their names. ``state``: t, text, and arrays (``pos, lo, hi, prop``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +141,7 @@ def _ranked(state: DataFrame, min_bytes: int, first: bool) -> DataFrame:
                 if m:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(np.full(m, i))), *(pa.array(x[alive], pa.int32()) for x in (pos, lo, hi)), pa.array(prop[alive]), *map(pa.array, lanes), pa.array(whole)],
-                        names=["tid", "pos", "lo", "hi", "prop", "c1", "c2", "u1", "u2", "whole"],
+                        names=["t", "pos", "lo", "hi", "prop", "c1", "c2", "u1", "u2", "whole"],
                     )
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,25 +164,22 @@ def _repeated(named: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``tid, start, end`` of repeated strings, covering all of them, for the distinct texts of ``tid, doc_id, text, rep``
-    rows; and the rows ``tid, text`` that have any sampled position left after the first ranking."""
-    k, w = shape(min_bytes)
-    sampled = scratch.keep(_sampled(texts.select("tid", "text"), min_bytes), "sampled")
-    place = F.xxhash64("tid", "pos")
-    ranks = scratch.keep(_repeated(sampled.select(F.col("rank").alias("k1"), F.lit(0).alias("k2"), place.alias("at"))).select(F.col("k1").alias("rank")), "ranks")
-    left = sampled.join(ranks, "rank").groupBy("tid").agg(F.collect_set("pos").alias("pos"))
-    chosen = texts.groupBy("tid").agg(F.min("doc_id").alias("rep")).join(left, "tid")
-    chosen = scratch.keep(chosen, "left")
-    same = (texts["tid"] == chosen["tid"]) & texts["doc_id"].eqNullSafe(chosen["rep"])
-    rows = scratch.keep(texts.join(chosen, same).select(texts["tid"], texts["text"], chosen["pos"]), "texts")
+    """``t, start, end`` of repeated strings, covering all of them, for the distinct texts of ``t, doc_id, text`` rows; and
+    the rows ``t, text`` that have any rank left after the first ranking."""
+    sampled = scratch.keep(_sampled(texts.select("t", "text"), min_bytes), "sampled")
+    place = F.xxhash64("t", "pos").alias("at")
+    ranks = scratch.keep(_repeated(sampled.select("k1", F.lit(0).alias("k2"), place)).select("k1"), "ranks")
+    left = sampled.join(ranks, "k1").groupBy("t").agg(F.collect_set(F.struct("pos", "half")).alias("p"))
+    chosen = scratch.keep(texts.groupBy("t").agg(F.min("doc_id").alias("rep")).join(left, "t"), "chosen")
+    same = (texts["t"] == chosen["t"]) & texts["doc_id"].eqNullSafe(chosen["rep"])
+    ends = halves(min_bytes)
+    edge = lambda i: F.transform("p", lambda x: F.when(x["half"] == 0, F.lit(ends[0][i])).otherwise(F.lit(ends[-1][i])))
+    rows = scratch.keep(texts.join(chosen, same).select(texts["t"], texts["text"], F.col("p.pos").alias("pos"), edge(0).alias("lo"), edge(1).alias("hi"), F.transform("p", lambda x: F.lit(False)).alias("prop")), "texts")
     scratch.drop(sampled, ranks, chosen)
-    fill = lambda value: F.transform("pos", lambda x: F.lit(value))
-    state = rows.select("tid", "text", "pos", fill(0).alias("lo"), fill(w - 1).alias("hi"), fill(False).alias("prop"))
-    spans: DataFrame | None = None
-    size, first = w, True
+    state, spans, first = rows, None, True
+    size = max(hi - lo + 1 for lo, hi in ends)
     while True:
-        at = F.xxhash64("tid", "pos").alias("at")
-        nodes = scratch.keep(_ranked(state, min_bytes, first).withColumn("at", at), "nodes")
+        nodes = scratch.keep(_ranked(state, min_bytes, first).withColumn("at", place), "nodes")
         named = nodes.where("whole").select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), "at")
         if not first:
             named = named.union(nodes.where("lo < hi").select("c1", "c2", "at"))
@@ -176,47 +188,50 @@ def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFr
         own = nodes.select(*(c for c in nodes.columns if c not in ("u1", "u2", "whole")), F.when(F.col("whole"), F.col("u1")).otherwise(F.col("at")).alias("u1"), F.when(F.col("whole"), F.col("u2")).otherwise(F.lit(0)).alias("u2"))
         union = twice.select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("a"))
         marked = own.join(union, ["u1", "u2"], "left").withColumns({"hit": F.col("a").isNotNull(), "least": F.coalesce(F.col("a") == F.col("at"), F.lit(False))})
-        marked = scratch.keep(marked.drop("u1", "u2", "a"), "marked")
-        done = marked.where("hit").select("tid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + min_bytes).alias("end"))
+        marked = scratch.keep(marked.drop("u1", "u2", "a", "at"), "marked")
+        done = scratch.keep(marked.where("hit and not prop").select("t", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + min_bytes).alias("end")), "done")
         spans = done if spans is None else spans.union(done)
-        size = -(-size // PARTS) if not first else size
+        size = size if first else -(-size // PARTS)
         if size == 1:
-            break
+            scratch.drop(nodes, twice, marked)
+            return spans, rows
         cores = twice.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"))
         open_ = marked.where("not hit and not prop and lo < hi")
-        open_ = scratch.keep(open_ if first else open_.join(cores, ["c1", "c2"], "left_semi"), "open")
+        open_ = scratch.keep((open_ if first else open_.join(cores, ["c1", "c2"], "left_semi")).select("t", "pos", "lo", "hi", "prop", "c1", "c2"), "open")
         # settled strings still have to be there for others to be compared with: one of each union, where its core is open
-        prop = marked.where("lo < hi and ((hit and least) or (prop and not hit))").join(scratch.keep(open_.select("c1", "c2").distinct(), "cores"), ["c1", "c2"], "left_semi")
-        again = open_.select("tid", "pos", "lo", "hi", "prop").union(prop.select("tid", "pos", "lo", "hi", F.lit(True)))
-        again = again.groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "prop")).alias("n"))
-        state = rows.select("tid", "text").join(again, "tid").select("tid", "text", *(F.col(f"n.{c}").alias(c) for c in ("pos", "lo", "hi", "prop")))
+        held = scratch.keep(open_.select("c1", "c2").distinct(), "cores")
+        prop = marked.where("lo < hi and ((hit and least) or (prop and not hit))").join(held, ["c1", "c2"], "left_semi")
+        again = open_.drop("c1", "c2").union(prop.select("t", "pos", "lo", "hi", F.lit(True)))
+        again = scratch.keep(again.groupBy("t").agg(F.collect_list(F.struct("pos", "lo", "hi", "prop")).alias("n")), "again")
+        scratch.drop(nodes, twice, marked, open_, held)
+        state = rows.select("t", "text").join(again, "t").select("t", "text", *(F.col(f"n.{c}").alias(c) for c in ("pos", "lo", "hi", "prop")))
         first = False
-    return spans, rows
 
 
 def suffix_dedup(documents: DataFrame, min_bytes: int = MIN_BYTES, text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``removed`` (the spans, end exclusive) of each row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    texts = documents.select("doc_id", body.alias("text")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("tid"))
-    meta = scratch.keep(texts.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
+    texts = documents.select("doc_id", body.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("t"))
+    meta = scratch.keep(texts.select("doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "rows")
     spans, rows = repeated_spans(texts, min_bytes)
-    by_text = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("s"))
-    cut = rows.select("tid", "text").join(by_text, "tid").select("tid", "text", F.col("s.start").alias("start"), F.col("s.end").alias("end")).mapInArrow(_cut, _CUT)
-    cut = cut.groupBy("tid").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"), F.first("removed").alias("removed"))
+    by_text = spans.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("s"))
+    cut = rows.select("t", "text").join(by_text, "t").select("t", "text", F.col("s.start").alias("start"), F.col("s.end").alias("end")).mapInArrow(_cut, _CUT)
+    cut = cut.groupBy("t").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"), F.first("removed").alias("removed"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= min_bytes)
     all_of = F.array(F.struct(F.lit(0).cast("int").alias("start"), F.col("n_bytes").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    texts_ = meta.groupBy("tid", "n_bytes").agg(F.count("*").alias("copies")).join(cut, "tid", "left").select(
-        "tid",
+    verdicts = meta.groupBy("t", "n_bytes").agg(F.count("*").alias("copies")).join(cut, "t", "left").select(
+        "t",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("tid")))).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("kept")).alias("kept"),
         F.when(whole, all_of).otherwise(F.coalesce("removed", none)).alias("removed"),
     )
-    texts_ = scratch.keep(texts_, "verdicts")
-    return meta.join(texts_, "tid").select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", "removed")
+    verdicts = scratch.keep(verdicts, "verdicts")
+    kept = F.coalesce("kept", F.lower(F.hex("sha"))).alias("kept_sha256")
+    return meta.join(verdicts, "t").select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), kept, "removed")
 
 
-_CUT = "tid binary, n_removed long, kept string, removed array<struct<start:int,end:int>>"
+_CUT = "t long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,4 +249,4 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(int(gone.sum()))
             kept.append(hashlib.sha256(body[~gone].tobytes()).hexdigest())
             removed.append([{"start": int(a), "end": int(b)} for a, b in zip(ends[::2], ends[1::2])])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["tid", "n_removed", "kept", "removed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["t", "n_removed", "kept", "removed"])
