@@ -22,7 +22,7 @@ from . import logit
 from . import textbytes as tb
 
 #: Hash buckets of the model, labelled rows it is fitted on at most, and the probability of low quality that rejects.
-BUCKETS, SAMPLE, REJECT = 1 << 18, 6000, 0.5
+BUCKETS, SAMPLE, REJECT = 1 << 18, 3000, 0.5
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -108,13 +108,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> logit.
     if rows.num_rows == 0:
         return logit.Logit(np.zeros(BUCKETS, np.float32), -20.0)
     data, offsets = tb.text_bytes(rows["_text"])
-    groups = [[], [], []]
+    found = []
     for a, b in tb.chunks(offsets):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        for kept, (bucket, row) in zip(groups, features(part, at, words_of(part, at, tb.RangeHash(part)))):
-            kept.append((bucket, row + a))
-    joined = [tuple(map(np.concatenate, zip(*g))) for g in groups if g]
-    return logit.fit(joined, (1 - rows["_q"].to_numpy()).astype(float), BUCKETS)
+        bucket, row, value = logit.entries(features(part, at, words_of(part, at, tb.RangeHash(part))), b - a, BUCKETS)
+        found.append((bucket, row + np.int32(a), value))
+    return logit.fit(tuple(map(np.concatenate, zip(*found))), (1 - rows["_q"].to_numpy()).astype(float), BUCKETS)
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, reject: float = REJECT, sample: int = SAMPLE, text: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> logit.Logit:
     if rows.num_rows == 0:
         return logit.Logit(np.zeros(BUCKETS, np.float32), -20.0)
     groups = features(rows["host"].combine_chunks(), rows["path"].combine_chunks())
-    return logit.fit(groups, rows["label"].to_numpy().astype(float), BUCKETS)
+    return logit.fit(logit.entries(groups, rows.num_rows, BUCKETS), rows["label"].to_numpy().astype(float), BUCKETS)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = (), block_at: float = BLOCK_AT, sample: int = SAMPLE) -> DataFrame:
