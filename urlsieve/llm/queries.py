@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filter
+from . import decontaminate, html_text, line_dedup, ngram_join, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, url_filter
 
 #: Fixed values of the url rules: verdict, host, path.
 RULES = (
@@ -55,6 +55,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
