@@ -144,7 +144,7 @@ def _sets(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 out.append((tokens.astype("<u8").tobytes(), *(x.astype("<u4").tobytes() for x in orders)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (zip(*out) if out else [[], [], []]))], names=["s", "tokens", "second", "third"])
 
-    return rows.select("s", "text").mapInArrow(run, "s long, tokens binary, second binary, third binary").dropDuplicates(["s"])
+    return rows.select("s", "text").mapInArrow(run, "s long, tokens binary, second binary, third binary")
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> int:
@@ -186,6 +186,8 @@ def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int)
     wanted = scratch.keep(wanted.select("s", F.col("r.doc_id").alias("doc_id"), F.col("r.tid").alias("tid")), "wanted")
     same = (texts["tid"] == wanted["tid"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     sets = scratch.keep(_sets(texts.join(wanted, same).select(wanted["s"], texts["text"]), size, percent), "sets")
+    if sets.select("s").count() > wanted.count():  # a row of one id and text that is there more than once
+        sets = scratch.keep(sets.dropDuplicates(["s"]), "sets")
     scratch.drop(wanted)
 
     first = lists.where("s <> hub").withColumns({"n_a": F.col("n"), "n_b": F.col("hub_n")}).where(_near(percent))
