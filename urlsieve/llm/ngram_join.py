@@ -226,21 +226,38 @@ def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCE
     return keyed.join(by_text, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(*names, "n_shingles", "component_id")
 
 
+def one_of_each(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """One row of each component: a row of its least id (of the texts under that id, one; of repeated rows, one). Where all
+    ids of a component are null, one of its texts. Rows without words are kept as they are, each its own component."""
+    texts = documents.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    found = scratch.keep(_rows(documents.sparkSession, texts, size, percent, roots=True), "found")
+    chosen = found.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("_d"), F.min_by("tid", "doc_id").alias("_t"), F.min("tid").alias("_u"))
+    chosen = scratch.keep(chosen.select("_d", F.coalesce("_t", "_u").alias("_t")), "chosen")
+    keyed = documents.withColumn("_k", F.xxhash64(F.coalesce(text, F.lit(""))))
+    kept = keyed.join(chosen, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").drop("_k")
+    if kept.select("doc_id").count() > chosen.count():  # a row of one id and text that is there more than once
+        first = keyed.withColumn("_r", F.monotonically_increasing_id()).join(chosen, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+        kept = first.dropDuplicates(["doc_id", "_k"]).drop("_k", "_r")
+    wordless = documents.where(~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*documents.columns).union(wordless)
+
+
 def digest(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row, without carrying the texts."""
     texts = documents.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tid"))
     return _rows(documents.sparkSession, texts, size, percent).drop("tid")
 
 
-def _rows(spark, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _rows(spark, texts: DataFrame, size: int, percent: int, roots: bool = False) -> DataFrame:
     cells = min(max(1 << (4 * texts.select("doc_id").count()).bit_length(), CELLS[0]), CELLS[1])
     levels = spark.sparkContext.broadcast(sketch(texts, cells, size))
     records = scratch.keep(_records(texts, levels, cells, size, percent), "records")
-    roots = scratch.keep(link_classes(records, texts, size, percent), "class-roots")
+    linked = scratch.keep(link_classes(records, texts, size, percent), "class-roots")
     classes = records.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
-    rooted = scratch.keep(classes.join(roots, classes["s"] == roots["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root")), "rooted")
+    rooted = scratch.keep(classes.join(linked, classes["s"] == linked["node"], "left").select("s", "least", F.coalesce("root", "s").alias("root")), "rooted")
     least = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    ids = scratch.keep(rooted.join(least, "root").select("s", "component_id"), "ids")
-    some = records.where("n > 0").select("doc_id", "tid", "s", "n").join(ids, "s").select("doc_id", "tid", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = records.where("n = 0").select("doc_id", "tid", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    ids = scratch.keep(rooted.join(least, "root").select("s", "component_id", "root"), "ids")
+    more = ["root"] * roots
+    some = records.where("n > 0").select("doc_id", "tid", "s", "n").join(ids, "s").select("doc_id", "tid", F.col("n").cast("long").alias("n_shingles"), "component_id", *more)
+    none = records.where("n = 0").select("doc_id", "tid", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(None).cast("long").alias("root")] * roots)
     return some.union(none)
