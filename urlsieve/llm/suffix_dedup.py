@@ -3,7 +3,7 @@
 Every string of ``min_bytes`` (L) that starts at two places is removed from both.  Ranking all byte positions by doubling
 would sort a rank pair for each byte of the corpus nine times over; here ranks are kept for the few positions that decide:
 
-* A position is sampled when the hash of the ``k`` bytes at it (k about L / 7) is least within some window of w = L - k + 1
+* A position is sampled when the hash of the ``k`` bytes at it (k about L / 20) is least within some window of w = L - k + 1
   positions.  Each string of L bytes has such a position inside, at the same place in every copy.  The strings around it
   fall into two halves, by their start; those of a half share the k bytes and half of the rest on one side.  The name of
   these bytes is the half's first rank; halves whose rank is unique drop out at once, with all their L-byte strings.
@@ -39,7 +39,7 @@ MIN_BYTES, PARTS = 400, 4
 
 def shape(min_bytes: int) -> tuple[int, int]:
     """Bytes of a sampled position's first rank, and start offsets around it."""
-    k = max(1, min_bytes // 7)
+    k = max(1, min_bytes // 20)
     return k, min_bytes - k + 1
 
 
@@ -83,18 +83,22 @@ def children(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def names(body: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_bytes: int) -> tuple[np.ndarray, ...]:
-    """Which nodes have a start inside the text; core and union names (two lanes each) of these; where the union is whole."""
+    """Which nodes have a start inside the text; core and union names (two lanes each) of these.
+
+    A union ends where the text does: its name tells the starts that it stands for, so texts with the same beginning or end
+    share it."""
     n = len(body)
     alive = (pos - lo >= 0) & (pos - hi + min_bytes <= n)
     pos, lo, hi = pos[alive], lo[alive], hi[alive]
-    whole = (pos - hi >= 0) & (pos - lo + min_bytes <= n)
-    salt = (lo.astype(np.uint64) << np.uint64(32)) + hi.astype(np.uint64)
+    first, last = np.maximum(lo, pos + min_bytes - n), np.minimum(hi, pos)
+    salt = lambda a, b, kind: tb.mix(((a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64)) * np.uint64(4) + np.uint64(kind))
+    core, union = salt(lo, hi, 1), salt(first, last, 2)
     out = []
     for lane in (0, 1):
         ranges = tb.RangeHash(body, lane)
-        for kind, start, end in ((1, pos - lo, pos - hi + min_bytes), (2, np.maximum(pos - hi, 0), np.minimum(pos - lo + min_bytes, n))):
-            out.append(tb.mix(ranges(start, end) + tb.mix(salt * np.uint64(4) + np.uint64(kind))).view(np.int64))
-    return alive, out[0], out[2], out[1], out[3], whole
+        out.append(tb.mix(ranges(pos - lo, pos - hi + min_bytes) + core).view(np.int64))
+        out.append(tb.mix(ranges(pos - last, pos - first + min_bytes) + union).view(np.int64))
+    return alive, out[0], out[2], out[1], out[3]
 
 
 def _sampled(texts: DataFrame, min_bytes: int) -> DataFrame:
@@ -121,7 +125,7 @@ def _sampled(texts: DataFrame, min_bytes: int) -> DataFrame:
     return texts.mapInArrow(run, "t long, pos int, half int, k1 long")
 
 
-_NODE = "t long, pos int, lo int, hi int, prop boolean, c1 long, c2 long, u1 long, u2 long, whole boolean"
+_NODE = "t long, pos int, lo int, hi int, prop boolean, c1 long, c2 long, u1 long, u2 long"
 
 
 def _ranked(state: DataFrame, min_bytes: int, first: bool) -> DataFrame:
@@ -136,12 +140,12 @@ def _ranked(state: DataFrame, min_bytes: int, first: bool) -> DataFrame:
                 if not first:
                     of, lo, hi = children(lo, hi)
                     pos, prop = pos[of], prop[of]
-                alive, *lanes, whole = names(data[offsets[i] : offsets[i + 1]], pos, lo, hi, min_bytes)
+                alive, *lanes = names(data[offsets[i] : offsets[i + 1]], pos, lo, hi, min_bytes)
                 m = int(alive.sum())
                 if m:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.full(m, i))), *(pa.array(x[alive], pa.int32()) for x in (pos, lo, hi)), pa.array(prop[alive]), *map(pa.array, lanes), pa.array(whole)],
-                        names=["t", "pos", "lo", "hi", "prop", "c1", "c2", "u1", "u2", "whole"],
+                        [batch.column(0).take(pa.array(np.full(m, i))), *(pa.array(x[alive], pa.int32()) for x in (pos, lo, hi)), pa.array(prop[alive]), *map(pa.array, lanes)],
+                        names=["t", "pos", "lo", "hi", "prop", "c1", "c2", "u1", "u2"],
                     )
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,16 +184,14 @@ def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFr
     size = max(hi - lo + 1 for lo, hi in ends)
     while True:
         nodes = scratch.keep(_ranked(state, min_bytes, first).withColumn("at", place), "nodes")
-        named = nodes.where("whole").select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), "at")
+        named = nodes.select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), "at")
         if not first:
             named = named.union(nodes.where("lo < hi").select("c1", "c2", "at"))
         twice = scratch.keep(_repeated(named), "repeated")
-        # a node whose union leaves the text has no union name: its place stands in, which spreads these rows over the tasks
-        own = nodes.select(*(c for c in nodes.columns if c not in ("u1", "u2", "whole")), F.when(F.col("whole"), F.col("u1")).otherwise(F.col("at")).alias("u1"), F.when(F.col("whole"), F.col("u2")).otherwise(F.lit(0)).alias("u2"))
         union = twice.select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("a"))
-        marked = own.join(union, ["u1", "u2"], "left").withColumns({"hit": F.col("a").isNotNull(), "least": F.coalesce(F.col("a") == F.col("at"), F.lit(False))})
+        marked = nodes.join(union, ["u1", "u2"], "left").withColumns({"hit": F.col("a").isNotNull(), "least": F.coalesce(F.col("a") == F.col("at"), F.lit(False))})
         marked = scratch.keep(marked.drop("u1", "u2", "a", "at"), "marked")
-        done = scratch.keep(marked.where("hit and not prop").select("t", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + min_bytes).alias("end")), "done")
+        done = scratch.keep(marked.where("hit and not prop").select("t", F.greatest(F.col("pos") - F.col("hi"), F.lit(0)).alias("start"), (F.col("pos") - F.col("lo") + min_bytes).alias("end")), "done")
         spans = done if spans is None else spans.union(done)
         size = size if first else -(-size // PARTS)
         if size == 1:
@@ -243,7 +245,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = data[offsets[i] : offsets[i + 1]]
             edge = np.zeros(len(body) + 1, np.int64)
             np.add.at(edge, batch.column(2)[i].values.to_numpy(zero_copy_only=False), 1)
-            np.add.at(edge, batch.column(3)[i].values.to_numpy(zero_copy_only=False), -1)
+            np.add.at(edge, np.minimum(batch.column(3)[i].values.to_numpy(zero_copy_only=False), len(body)), -1)
             gone = np.cumsum(edge[:-1]) > 0
             ends = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])).astype(np.int8)))
             counts.append(int(gone.sum()))
