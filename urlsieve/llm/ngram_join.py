@@ -114,7 +114,8 @@ def _records(texts: DataFrame, levels, cells: int, size: int, percent: int) -> D
                 rows.append(row)
                 name.append(s)
                 count.append(n)
-                prio.append((int(level.mean() * 64) << 44 if n else 0) | (s & ((1 << 44) - 1)))
+                # how common the tokens are, then the size, then bits of the name that break ties
+                prio.append((int(level.mean() * 4) << 53 | n << 25 if n else 0) | s & ((1 << 25) - 1))
                 prefix.append(first)
                 if len(rows) >= 2000:
                     yield _batch(batch, rows, name, count, prio, prefix)
@@ -132,71 +133,65 @@ def _records(texts: DataFrame, levels, cells: int, size: int, percent: int) -> D
     return texts.select("doc_id", "tid", "text").mapInArrow(run, f"doc_id {kind}, tid long, s long, n int, prio long, prefix array<long>")
 
 
-def _sets(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """``s, tokens, second, third``: whole sets, and their prefixes under the two permutations (upper halves of the hashes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for _, tokens in shingle_sets(batch.column(1), size):
-                p = prefix_length(len(tokens), percent)
-                orders = [np.sort(tb.mix(tokens ^ salt))[:p] >> np.uint64(32) for salt in (_SECOND, _THIRD)]
-                out.append((tokens.astype("<u8").tobytes(), *(x.astype("<u4").tobytes() for x in orders)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (zip(*out) if out else [[], [], []]))], names=["s", "tokens", "second", "third"])
+def _meet(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
 
-    return rows.select("s", "text").mapInArrow(run, "s long, tokens binary, second binary, third binary")
 
+def similar(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int) -> bool:
+    """Whether the prefixes of both sets meet under each permutation and the whole sets have the similarity."""
+    if not all(np.isin(p, q, assume_unique=True).any() for p, q in zip(x[1:], y[1:])):
+        return False
+    both = _meet(x[0], y[0])
+    return 100 * both >= percent * (len(x[0]) + len(y[0]) - both)
 
-def _meet(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(a, b, assume_unique=True))
 
+def verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``a, b`` pairs whose prefixes meet under the other orders and whose sets have the similarity. Texts travel, not sets:
+    they are a fifth of the size."""
+    side = lambda c: bodies.select(F.col("s").alias(c), F.col("text").alias(f"text_{c}"))
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``a, b`` pairs whose prefixes meet under the other orders and whose sets have the similarity."""
-    side = lambda c: sets.select(F.col("s").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("second", "third", "tokens")))
+    def orders(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+        p = prefix_length(len(tokens), percent)
+        return (tokens, *(np.sort(tb.mix(tokens ^ salt))[:p] for salt in (_SECOND, _THIRD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("second_a", "second_b", "third_a", "third_b", "tokens_a", "tokens_b")]
-            for i in range(batch.num_rows):
-                get = lambda c, kind: np.frombuffer(cols[c][i].as_buffer(), kind)  # noqa: B023, E731
-                ok = False
-                if np.isin(get(0, "<u4"), get(1, "<u4")).any() and np.isin(get(2, "<u4"), get(3, "<u4")).any():
-                    x, y = get(4, "<u8"), get(5, "<u8")
-                    both = _meet(x, y)
-                    ok = 100 * both >= percent * (len(x) + len(y) - both)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("a")), batch.column(batch.schema.get_field_index("b"))], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            for at in range(0, batch.num_rows, 64):
+                a, b = (get(c).slice(at, 64) for c in ("a", "b"))
+                x, y = ([orders(t) for _, t in shingle_sets(get(c).slice(at, 64), size)] for c in ("text_a", "text_b"))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array([similar(u, v, percent) for u, v in zip(x, y)], pa.bool_()))
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _near(percent: int):
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+def _near(a: str, b: str, percent: int):
+    """Whether the sizes, kept in the priorities, allow the similarity."""
+    n = lambda c: F.shiftright(c, 25).bitwiseAND(F.lit((1 << 28) - 1))
+    return 100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))
 
 
 def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, root`` of the set classes that have links."""
-    classes = records.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("prio").alias("prio"), F.first("prefix").alias("prefix"))
-    postings = classes.select("s", "n", "prio", F.explode("prefix").alias("token")).repartition("token")
-    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.max_by("s", "prio").alias("hub"), F.max_by("n", "prio").alias("hub_n"), F.max("prio").alias("hub_prio")).where("members > 1")
+    classes = records.where("n > 0").groupBy("s").agg(F.first("prio").alias("prio"), F.first("prefix").alias("prefix"))
+    postings = classes.select("s", "prio", F.explode("prefix").alias("token")).repartition("token")
+    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.max_by("s", "prio").alias("hub"), F.max("prio").alias("hub_prio")).where("members > 1")
     lists = scratch.keep(postings.join(lists.hint("shuffle_hash"), "token"), "lists")
     wanted = records.select("s", "tid", "doc_id").join(lists.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "tid")).alias("r"))
     wanted = scratch.keep(wanted.select("s", F.col("r.doc_id").alias("doc_id"), F.col("r.tid").alias("tid")), "wanted")
     same = (texts["tid"] == wanted["tid"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
-    sets = scratch.keep(_sets(texts.join(wanted, same).select(wanted["s"], texts["text"]), size, percent), "sets")
-    if sets.select("s").count() > wanted.count():  # a row of one id and text that is there more than once
-        sets = scratch.keep(sets.dropDuplicates(["s"]), "sets")
+    bodies = scratch.keep(texts.join(wanted, same).select(wanted["s"], texts["text"]), "bodies")
+    if bodies.select("s").count() > wanted.count():  # a row of one id and text that is there more than once
+        bodies = scratch.keep(bodies.dropDuplicates(["s"]), "bodies")
     scratch.drop(wanted)
 
-    first = lists.where("s <> hub").withColumns({"n_a": F.col("n"), "n_b": F.col("hub_n")}).where(_near(percent))
+    first = lists.where("s <> hub").where(_near("prio", "hub_prio", percent))
     pairs = scratch.keep(first.groupBy("s").agg(F.max_by("hub", "hub_prio").alias("hub")).select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct(), "pairs")
-    seen, links = pairs, scratch.keep(verify(pairs, sets, percent), "links")
-    members = lists.select("token", "s", "n", "prio")
+    seen, links = pairs, scratch.keep(verify(pairs, bodies, size, percent), "links")
+    members = lists.select("token", "s", "prio")
     while True:
         roots = scratch.keep(components(links), "roots")
-        rooted = members.join(roots, members["s"] == roots["node"], "left").select("token", "s", "n", "prio", F.coalesce("root", "s").alias("root"))
+        rooted = members.join(roots, members["s"] == roots["node"], "left").select("token", "s", "prio", F.coalesce("root", "s").alias("root"))
         rooted = scratch.keep(rooted, "rooted")
         open_ = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
         # what lies outside a list's largest component, so far, has to meet the rest of the list
@@ -206,12 +201,12 @@ def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int)
             return roots
         open_members = scratch.keep(rooted.join(largest, "token"), "members")
         minor = open_members.where("root <> largest").withColumn("seat", F.when(F.col("members") - F.col("k") <= HUBS, F.col("s")).otherwise(F.pmod(F.xxhash64("s"), F.lit(HUBS))))
-        hubs = scratch.keep(minor.groupBy("token", "seat").agg(F.max_by("s", "prio").alias("hub"), F.max_by("n", "prio").alias("hub_n"), F.max_by("root", "prio").alias("hub_root")).drop("seat"), "hubs")
-        met = open_members.join(hubs, "token").where("root <> hub_root").withColumns({"n_a": F.col("n"), "n_b": F.col("hub_n")}).where(_near(percent))
+        hubs = scratch.keep(minor.groupBy("token", "seat").agg(F.max_by("s", "prio").alias("hub"), F.max("prio").alias("hub_prio"), F.max_by("root", "prio").alias("hub_root")).drop("seat"), "hubs")
+        met = open_members.join(hubs, "token").where("root <> hub_root").where(_near("prio", "hub_prio", percent))
         pairs = scratch.keep(met.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.keep(links.union(verify(pairs, sets, percent)), "links")
+        links = scratch.keep(links.union(verify(pairs, bodies, size, percent)), "links")
         seen = seen.union(pairs)
-        members = scratch.keep(open_members.join(hubs.select("token", F.col("hub").alias("s")), ["token", "s"], "left_anti").select("token", "s", "n", "prio"), "left")
+        members = scratch.keep(open_members.join(hubs.select("token", F.col("hub").alias("s")), ["token", "s"], "left_anti").select("token", "s", "prio"), "left")
 
 
 def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text") -> DataFrame:
