@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles.  Two sets of Jaccard similarity t or more share a token of their prefixes (the first
 ``n - ceil(t n) + 1`` tokens) under *every* global order of tokens.  Candidates meet on prefix tokens of a first order, rare
-tokens first; they go on only if their prefixes under a second and a third order (two independent permutations) meet as
+tokens first, where the places of the first shared token still allow the similarity; they go on only if their prefixes under a second and a third order (two independent permutations) meet as
 well, and what passes all filters is verified on the whole sets.
 
 The first order needs frequencies, but any function of the token is a valid order: a fixed-size count sketch over all
@@ -109,7 +109,8 @@ def _records(texts: DataFrame, levels, cells: int, size: int, percent: int) -> D
                 level = level_of[(tokens >> shift).astype(np.int64)].astype(np.uint64)
                 p = prefix_length(n, percent)
                 key = (level << np.uint64(56)) | (tb.mix(tokens) >> np.uint64(8))
-                first = tokens[np.argpartition(key, p - 1)[:p]] if 0 < p < n else tokens[:p]
+                first = np.argpartition(key, p - 1)[:p] if 0 < p < n else np.arange(p)
+                first = tokens[first[np.argsort(key[first])]]
                 s = xxhash.xxh3_64_intdigest(tokens.tobytes())
                 rows.append(row)
                 name.append(s)
@@ -165,17 +166,19 @@ def verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Data
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _near(a: str, b: str, percent: int):
-    """Whether the sizes, kept in the priorities, allow the similarity."""
+def _near(a: str, b: str, at_a: str, at_b: str, percent: int):
+    """Whether two sets whose first shared token stands at these places can have the similarity (sizes are in the priorities).
+
+    A pair meets on each prefix token it shares, and the bound holds on the first of them, so no similar pair is lost."""
     n = lambda c: F.shiftright(c, 25).bitwiseAND(F.lit((1 << 28) - 1))
-    return 100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))
+    return (100 + percent) * F.least(n(a) - F.col(at_a), n(b) - F.col(at_b)) >= percent * (n(a) + n(b))
 
 
 def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, root`` of the set classes that have links."""
     classes = records.where("n > 0").groupBy("s").agg(F.first("prio").alias("prio"), F.first("prefix").alias("prefix"))
-    postings = classes.select("s", "prio", F.explode("prefix").alias("token")).repartition("token")
-    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.max_by("s", "prio").alias("hub"), F.max("prio").alias("hub_prio")).where("members > 1")
+    postings = classes.select("s", "prio", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.max_by("s", "prio").alias("hub"), F.max_by("at", "prio").alias("hub_at"), F.max("prio").alias("hub_prio")).where("members > 1")
     lists = scratch.keep(postings.join(lists.hint("shuffle_hash"), "token"), "lists")
     wanted = records.select("s", "tid", "doc_id").join(lists.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "tid")).alias("r"))
     wanted = scratch.keep(wanted.select("s", F.col("r.doc_id").alias("doc_id"), F.col("r.tid").alias("tid")), "wanted")
@@ -185,13 +188,13 @@ def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int)
         bodies = scratch.keep(bodies.dropDuplicates(["s"]), "bodies")
     scratch.drop(wanted)
 
-    first = lists.where("s <> hub").where(_near("prio", "hub_prio", percent))
+    first = lists.where("s <> hub").where(_near("prio", "hub_prio", "at", "hub_at", percent))
     pairs = scratch.keep(first.groupBy("s").agg(F.max_by("hub", "hub_prio").alias("hub")).select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct(), "pairs")
     seen, links = pairs, scratch.keep(verify(pairs, bodies, size, percent), "links")
-    members = lists.select("token", "s", "prio")
+    members = lists.select("token", "s", "prio", "at")
+    roots = scratch.keep(components(links), "roots")
     while True:
-        roots = scratch.keep(components(links), "roots")
-        rooted = members.join(roots, members["s"] == roots["node"], "left").select("token", "s", "prio", F.coalesce("root", "s").alias("root"))
+        rooted = members.join(roots, members["s"] == roots["node"], "left").select("token", "s", "prio", "at", F.coalesce("root", "s").alias("root"))
         rooted = scratch.keep(rooted, "rooted")
         open_ = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
         # what lies outside a list's largest component, so far, has to meet the rest of the list
@@ -201,12 +204,16 @@ def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int)
             return roots
         open_members = scratch.keep(rooted.join(largest, "token"), "members")
         minor = open_members.where("root <> largest").withColumn("seat", F.when(F.col("members") - F.col("k") <= HUBS, F.col("s")).otherwise(F.pmod(F.xxhash64("s"), F.lit(HUBS))))
-        hubs = scratch.keep(minor.groupBy("token", "seat").agg(F.max_by("s", "prio").alias("hub"), F.max("prio").alias("hub_prio"), F.max_by("root", "prio").alias("hub_root")).drop("seat"), "hubs")
-        met = open_members.join(hubs, "token").where("root <> hub_root").where(_near("prio", "hub_prio", percent))
+        hubs = scratch.keep(minor.groupBy("token", "seat").agg(F.max_by("s", "prio").alias("hub"), F.max_by("at", "prio").alias("hub_at"), F.max("prio").alias("hub_prio"), F.max_by("root", "prio").alias("hub_root")).drop("seat"), "hubs")
+        met = open_members.join(hubs, "token").where("root <> hub_root").where(_near("prio", "hub_prio", "at", "hub_at", percent))
         pairs = scratch.keep(met.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.keep(links.union(verify(pairs, bodies, size, percent)), "links")
-        seen = seen.union(pairs)
-        members = scratch.keep(open_members.join(hubs.select("token", F.col("hub").alias("s")), ["token", "s"], "left_anti").select("token", "s", "prio"), "left")
+        if not pairs.isEmpty():
+            found = scratch.keep(verify(pairs, bodies, size, percent), "links")
+            seen = seen.union(pairs)
+            if not found.isEmpty():
+                links = links.union(found)
+                roots = scratch.keep(components(links), "roots")
+        members = scratch.keep(open_members.join(hubs.select("token", F.col("hub").alias("s")), ["token", "s"], "left_anti").select("token", "s", "prio", "at"), "left")
 
 
 def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text") -> DataFrame:
