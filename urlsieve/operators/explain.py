@@ -75,7 +75,11 @@ def explain(df: DataFrame, reference: dict[str, dict[str, float]], view: str = "
     calm = ~F.exists(found, lambda x: x["severity"].isin("risk", "caution"))
     typical = item("model_feature", "info", None, text("no feature is outside the range of legitimate urls"))
     all_ = F.when(calm, F.array_append(found, typical)).otherwise(found)
-    return df.withColumn("explanations", all_).withColumn("messages", F.flatten(F.array(*(F.transform(F.filter("explanations", lambda x, s=s: x["severity"] == s), lambda x: x["message"]) for s in ("risk", "caution", "info")))))
+    return df.withColumn("explanations", all_).withColumn("messages", F.flatten(F.array(*(_texts(s) for s in ("risk", "caution", "info")))))
+
+
+def _texts(severity: str) -> Column:
+    return F.transform(F.filter("explanations", lambda x: x["severity"] == severity), lambda x: x["message"])
 
 
 def indicators(column: str = "explanations", most: int = 8) -> Column:

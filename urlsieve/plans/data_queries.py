@@ -137,8 +137,7 @@ def text_prepare(spark, d):
 
 @query("select o_totalprice from orders")
 def numeric_columns(spark, d):
-    kept = D.numeric_columns(V.load(spark, d, "orders").select("o_orderstatus", "o_totalprice", "o_clerk"))
-    return kept
+    return D.numeric_columns(V.load(spark, d, "orders").select("o_orderstatus", "o_totalprice", "o_orderpriority"))
 
 
 def _metrics_sql(where: str, positive: int = 1, by: str = "") -> str:

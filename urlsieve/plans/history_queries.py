@@ -40,12 +40,12 @@ def history_record(spark, d):
     return H.record(rows).select("id", "url", "host", "prediction", "risk_level", "source", "phishing_probability")
 
 
-@query(HI + f"select {_DAY} as \"day\", count(*)::bigint n, sum(id)::bigint ids from history group by 1")
+@query(HI + f"select ({_DAY})::varchar as \"day\", count(*)::bigint n, sum(id)::bigint ids from history group by 1")
 def history_append(spark, d):
     """Scans appended to a table partitioned by day, and read back."""
     path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     H.append(V.history(spark, d).select("id", "scanned_at", "url", "prediction"), path)
-    return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(HI + "select id, prediction, case when id % 2 = 0 then host end host, case when id % 2 = 0 then phishing_probability end phishing_probability from history")
@@ -103,16 +103,16 @@ def history_span(spark, d):
 _P3 = ", ".join(f"count(*) filter (prediction = '{p}')::bigint as \"{p}\"" for p in H.PREDICTIONS)
 
 
-@query(HI + f"select {_DAY} as \"day\", {_P3} from history where {_DAY} >= date '2024-01-30' - 13 group by 1")
+@query(HI + f"select ({_DAY})::varchar as \"day\", {_P3} from history where {_DAY} >= date '2024-01-30' - 13 group by 1")
 def history_daily(spark, d):
-    return H.daily(V.history(spark, d), V.AS_OF, 14)
+    return H.daily(V.history(spark, d), V.AS_OF, 14).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
-    HI + f"select x.d::date as \"day\", coalesce(n, 0)::bigint total, coalesce(n, 0) > 0 and x.d::date = (select {_DAY} from history where {_DAY} >= date '2024-01-30' - 59 group by 1 order by count(*) desc, 1 limit 1) busiest from (select unnest(generate_series(timestamp '2024-01-30' - interval 59 day, timestamp '2024-01-30', interval 1 day)) d) x left join (select {_DAY} dd, count(*) n from history group by 1) on dd = x.d::date"
+    HI + f"select (x.d::date)::varchar as \"day\", coalesce(n, 0)::bigint total, coalesce(n, 0) > 0 and x.d::date = (select {_DAY} from history where {_DAY} >= date '2024-01-30' - 59 group by 1 order by count(*) desc, 1 limit 1) busiest from (select unnest(generate_series(timestamp '2024-01-30' - interval 59 day, timestamp '2024-01-30', interval 1 day)) d) x left join (select {_DAY} dd, count(*) n from history group by 1) on dd = x.d::date"
 )
 def history_calendar(spark, d):
-    return H.calendar(V.history(spark, d), V.AS_OF, 60)
+    return H.calendar(V.history(spark, d), V.AS_OF, 60).withColumn("day", F.col("day").cast("string"))
 
 
 @query(HI + "select v as \"value\", n::bigint n, floor(100 * n / (select count(*) from history) + 0.5)::int as \"percent\" from (select 'Safe' v, count(*) filter (prediction = 'Safe')::double n from history union all select 'Suspicious', count(*) filter (prediction = 'Suspicious') from history union all select 'Phishing', count(*) filter (prediction = 'Phishing') from history union all select 'Risky', count(*) filter (prediction <> 'Safe') from history)")
@@ -212,7 +212,7 @@ def result_reuse(spark, d):
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-@query(f"select event_type prediction, ts::date as \"day\", count(*)::bigint n from events group by 1, 2")
+@query(f"select event_type prediction, (ts::date)::varchar as \"day\", count(*)::bigint n from events group by 1, 2")
 def stream_daily(spark, d):
     """Daily counts by a stream over the events, in complete mode."""
     source = spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -220,7 +220,7 @@ def stream_daily(spark, d):
     name = "stream_daily_" + uuid.uuid4().hex
     running = J.daily_stream(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).withColumn("day", F.col("day").cast("string"))
 
 
 @query("select event_id id, case when least(greatest(value / 1000, 0), 1) < 0.3 then 'Safe' when least(greatest(value / 1000, 0), 1) >= 0.7 then 'Phishing' else 'Suspicious' end prediction from events where event_type <> 'view'")

@@ -79,14 +79,16 @@ _QUERY = r"regexp_extract(norm, '^[^?#]*\?([^#]*)', 1)"
 
 @query(
     S.with_("messy", extra=S.NORMAL)
-    + rf"""select page_id, split_part(norm, '://', 1) scheme, hname host, case when digits <> '' then digits::int end port,
+    + rf"""select page_id, split_part(norm, '://', 1) scheme, hname host, case when digits <> '' then digits::int else -1 end port,
   coalesce(case when digits <> '' then digits::int end not in (80, 443), false) non_standard_port, contains(regexp_extract(norm, '://([^/?#]*)', 1), '@') has_userinfo,
   regexp_matches(hname, '{u.IPV4}') is_ip_literal, regexp_matches(hname, '(^|\.)xn--') is_punycode, contains(hname, '-') hyphen_in_host, starts_with(hname, 'www.') has_www,
   {_PATH} not in ('', '/') has_path, {_QUERY} <> '' has_query, regexp_extract(norm, '#(.*)$', 1) <> '' has_fragment from normal where error is null"""
 )
 def url_facts(spark, d):
     rows = urls.normalize(V.messy(spark, d), "raw").where("url_error is null")
-    return rows.select("page_id", *(c.alias(n) for n, c in u.facts(F.col("normalized_url")).items()))
+    cols = u.facts(F.col("normalized_url"))
+    cols["port"] = F.coalesce(cols["port"], F.lit(-1))
+    return rows.select("page_id", *(c.alias(n) for n, c in cols.items()))
 
 
 @query(S.with_("messy", extra=S.NORMAL) + r"select page_id, hname host, starts_with(hname, '192.168.') internal from normal where error is null")
@@ -105,7 +107,7 @@ def url_policy(spark, d):
 
 @query(
     """select event_id, case event_type when 'click' then 'UNEXPECTED_FIELD' when 'error' then 'INVALID_FIELD' when 'signup' then 'MISSING_URL' when 'purchase' then 'INVALID_TYPE' end request_error,
-  case when event_type = 'view' then 'api' end scan_source, case when event_type = 'view' then user_id % 2 = 0 end record from events"""
+  case when event_type = 'view' then 'api' end scan_source, case when event_type = 'view' then (user_id % 2 = 0)::varchar end record from events"""
 )
 def request_validate(spark, d):
     kind, user = F.col("event_type"), F.col("user_id")
@@ -113,7 +115,7 @@ def request_validate(spark, d):
         F.when(kind == "click", F.lit('{"url": "a.com", "other": 1}')).when(kind == "error", F.lit('{"url": "a.com", "source": "fax"}')).when(kind == "signup", F.lit('{"url": " ", "source": "web"}'))
         .when(kind == "purchase", F.lit('{"url": 42}')).otherwise(F.concat(F.lit('{"url": "a.com/'), user.cast("string"), F.lit('", "record": '), (user % 2 == 0).cast("string"), F.lit("}")))
     )
-    return urls.check_requests(load(spark, d, "events").withColumn("body", body)).select("event_id", "request_error", "scan_source", "record")
+    return urls.check_requests(load(spark, d, "events").withColumn("body", body)).select("event_id", "request_error", "scan_source", F.col("record").cast("string").alias("record"))
 
 
 _HOST_INPUT = S.HOST_INPUT.format("norm")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,14 +38,23 @@ def _limited(frame: pd.DataFrame, recent: list[float], most: int, window: float)
 
 
 def rate_limit(requests: DataFrame, most: int = 30, window: float = 60.0) -> DataFrame:
-    """Batch twin: ``client, id, ts`` rows in the order of time. A client's hits are cut where it pauses for a whole window, as no
-    hit reaches across, so a group is one burst and not a client's whole past."""
-    from pyspark.sql import Window
+    """Batch twin: ``client, id, ts`` rows in the order of time. A client's hits are cut into stretches at pauses of a whole window,
+    as no hit reaches across one, so a group is a stretch and not a client's whole past."""
+    rows = _stretches(requests.select("client", "id", "ts"), "client", window)
+    return rows.groupBy("client", "_g").applyInPandas(lambda pdf: _limited(pdf, [], most, window), LIMITED)
 
-    w = Window.partitionBy("client").orderBy("ts", "id")
-    pause = F.coalesce((F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w) >= window).cast("int"), F.lit(0))
-    bursts = requests.select("client", "id", "ts").withColumn("_p", pause).withColumn("_b", F.sum("_p").over(w)).drop("_p")
-    return bursts.groupBy("client", "_b").applyInPandas(lambda pdf: _limited(pdf, [], most, window), LIMITED)
+
+#: Windows that one stretch covers before it is cut at the next pause.
+STRETCH = 1000
+
+
+def _stretches(rows: DataFrame, key: str, window: float) -> DataFrame:
+    """``rows`` with ``_g``: bursts, which end at pauses of ``window`` seconds, numbered by the span of time they begin in."""
+    w = Window.partitionBy(key).orderBy("ts", "id")
+    seconds = F.col("ts").cast("double")
+    begins = F.when(F.coalesce(seconds - F.lag(seconds).over(w) >= window, F.lit(True)), seconds)
+    began = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_s", begins).withColumn("_g", F.floor(began / (window * STRETCH))).drop("_s")
 
 
 def rate_limit_stream(requests: DataFrame, most: int = 30, window: float = 60.0) -> DataFrame:
@@ -79,12 +88,8 @@ def _reused(frame: pd.DataFrame, scored_at, ttl: float) -> tuple[pd.DataFrame, o
 def result_reuse(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
     """Batch twin: which scans of ``origin, id, ts, ok`` are scored anew and which reuse a result of their origin. An origin's
     scans are cut where it pauses for the whole time to live."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("origin").orderBy("ts", "id")
-    pause = F.coalesce((F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w) >= ttl).cast("int"), F.lit(0))
-    cut = scans.select("origin", "id", "ts", "ok").withColumn("_p", pause).withColumn("_b", F.sum("_p").over(w)).drop("_p")
-    return cut.groupBy("origin", "_b").applyInPandas(lambda pdf: _reused(pdf, None, ttl)[0], REUSED)
+    rows = _stretches(scans.select("origin", "id", "ts", "ok"), "origin", ttl)
+    return rows.groupBy("origin", "_g").applyInPandas(lambda pdf: _reused(pdf, None, ttl)[0], REUSED)
 
 
 def result_reuse_stream(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
@@ -103,8 +108,6 @@ def result_reuse_stream(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
 
 def window_hits(requests: DataFrame, window: int = 60) -> DataFrame:
     """Hits of the same client in the last ``window`` seconds, the row itself included."""
-    from pyspark.sql import Window
-
     at = F.unix_micros("ts")
     w = Window.partitionBy("client").orderBy(at).rangeBetween(-(window * 1_000_000 - 1), 0)
     return requests.select("client", "id", F.count("*").over(w).alias("hits"))
