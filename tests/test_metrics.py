@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,10 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert want == brute
     path = str(tmp_path / "in")
     df.coalesce(1).write.parquet(path)
-    q = jobs.rate_limit_stream(spark.readStream.schema(df.schema).parquet(path), 3, 60.0).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = jobs.rate_limit_stream(spark.readStream.schema(df.schema).parquet(path), 3, 60.0).writeStream.format("memory").queryName("limited").outputMode("append").start()
+    # state with a timeout keeps empty batches coming, so the query is stopped once all rows are out
+    until = time.time() + 90
+    while spark.table("limited").count() < len(rows) and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
     assert {x["id"]: (x["allowed"], x["retry_after"]) for x in spark.table("limited").collect()} == want
