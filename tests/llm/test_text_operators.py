@@ -127,6 +127,24 @@ def test_ids_equal_the_named_library():
         assert tk.encoder(Held)(text) == named.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_the_named_library_by_default(spark):
+    from tokenizers import Tokenizer
+
+    class Held:
+        value = open(tk.default_path(), "rb").read()
+
+    named = Tokenizer.from_file(tk.default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|><|endoftext|> y <|endoftext", "Hello  world \n"]
+    want = [named.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [tk.encoder(Held, added=True)(t) for t in texts] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["doc_tokens"] for x in packing.pack(rows).collect()}
+    assert got == {i: len(ids) + 1 for i, ids in enumerate(want)}
+    lengths = Counter({x["length"]: x["n_docs"] for x in token_counts.histogram(rows).collect()})
+    assert lengths == Counter(map(len, want))
+
+
 def test_packing_round_trip(spark):
     texts = [(1, "hello world " * 700), (2, None), (3, ""), (4, "one"), (4, "one"), (None, "two three")]
     rows = packing.pack(spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, start string")).collect()

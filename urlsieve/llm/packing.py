@@ -44,7 +44,7 @@ def pack(documents: DataFrame, limit: int = LIMIT, end: int = END, vocabulary: s
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tk.encoder(shared)
+        encode = tk.encoder(shared, added=True)
         for batch in batches:
             out: list[tuple] = []
             row, at, held = [], [], 0

@@ -29,7 +29,7 @@ def histogram(documents: DataFrame, vocabulary: str | None = None, text: str = "
     shared = tk.share(documents.sparkSession, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tk.encoder(shared)
+        encode = tk.encoder(shared, added=True)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"length": pa.array([len(encode(t.as_py() or "")) for t in batch.column(0)], pa.int64())})
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import partial
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 MAX_VOCABULARY = 64 << 20
-_ENCODERS: dict[int, object] = {}
+_ENCODERS: dict[tuple[int, bool], object] = {}
 
 
 def default_path() -> str:
@@ -40,18 +41,21 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(vocabulary: Broadcast):
-    """A function from a text to its list of ids, without special tokens (their strings are ordinary text). One per process."""
-    key = zlib.crc32(vocabulary.value)
+def encoder(vocabulary: Broadcast, added: bool = False):
+    """A function from a text to its list of ids; no token is put around it.  With ``added`` the file's added tokens are found in
+    texts, as the named library does by default; without it their strings are ordinary text. One per process and kind."""
+    key = zlib.crc32(vocabulary.value), added
     if key not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         spec = json.loads(vocabulary.value)
-        byte_of, special = _byte_of(), {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
+        byte_of, special = _byte_of(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _ENCODERS.clear()
-        _ENCODERS[key] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        named = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+        for other in [k for k in _ENCODERS if k[0] != key[0]]:
+            del _ENCODERS[other]
+        _ENCODERS[key] = partial(named.encode, allowed_special="all") if added else named.encode_ordinary
     return _ENCODERS[key]
 
 
