@@ -217,7 +217,7 @@ def threshold_criteria(spark, d):
 
 @query()
 def bootstrap_gain(spark, d):
-    return M.bootstrap_gain(V.scored(spark, d))
+    return M.bootstrap_gain(V.scored(spark, d), reps=1000)
 
 
 @query(SC + "select id % 3 = 0 subset, count(*)::bigint n, round(avg((p >= 0.5)::int) filter (y = 1), 6) recall, round(avg((p >= 0.5)::int) filter (y = 0), 6) false_positive_rate from scored group by 1")

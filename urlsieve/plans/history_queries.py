@@ -245,13 +245,13 @@ _USED = ("DomainLength", "CharContinuationRate", "TLDLegitimateProb", "NoOfSubDo
 @query()
 def model_grid(spark, d):
     train, test = parts(spark, d)
-    return models.compare(train, test, _USED, models.grid(small=True), (True,))
+    return models.compare(train, test, feat.NAMES, models.grid())
 
 
 @query()
 def research_models(spark, d):
     train, test = parts(spark, d)
-    return models.compare(train, test, _USED, models.research(len(_USED), small=True), (False,))
+    return models.compare(train, test, feat.NAMES, models.research(len(feat.NAMES)), (False,))
 
 
 @query()
@@ -272,7 +272,8 @@ def text_classify(spark, d):
 @query()
 def ablation(spark, d):
     train, test = parts(spark, d)
-    return models.ablation(train, test, {"all": _USED, "without prior": [c for c in _USED if c != "TLDLegitimateProb"], "lengths": ["DomainLength"]}, C.LogisticRegression(labelCol="y", weightCol="w"))
+    ranked = [x["feature"] for x in models.single_feature_auc(train, feat.NAMES).orderBy(F.desc("auc"), "feature").collect()]
+    return models.ablation(train, test, models.leave_out(feat.NAMES, ranked), C.LogisticRegression(labelCol="y", weightCol="w"))
 
 
 @query()
@@ -288,14 +289,14 @@ def impute_scale(spark, d):
 @query()
 def feature_importance(spark, d):
     train, _ = parts(spark, d)
-    return models.importances(models.fit(train, _USED, models.grid(small=True)["random_forest"]), _USED, train)
+    return models.importances(models.fit(train, feat.NAMES, models.grid()["random_forest"]), feat.NAMES, train)
 
 
 @query()
 def permutation_importance(spark, d):
     train, test = parts(spark, d)
-    model = models.fit(train, _USED[:3], C.LogisticRegression(labelCol="y", weightCol="w"))
-    return models.permutation_importance(model, test.select("id", "y", *_USED[:3]), _USED[:3], 2)
+    model = models.fit(train, feat.NAMES, C.LogisticRegression(labelCol="y", weightCol="w"))
+    return models.permutation_importance(model, test.select("id", "y", *feat.NAMES), feat.NAMES, 10)
 
 
 @query()
