@@ -6,12 +6,13 @@ words the distance to its last place in any pattern: the search looks at the blo
 by that distance, nine words for most blocks.  Where the distance is 0, the bucket of that suffix lists the patterns to
 compare word by word.
 
-The pattern tables are broadcast in shards of at most ``SHARD`` windows, a pass over the documents for each, so what an
-executor holds is bounded whatever the benchmark's size; the marks of the shards are then joined by document.
+The pattern tables are broadcast in shards of about ``SHARD`` pairs of a window and an item (the items of one window may lie in
+several shards).  There is a pass over the documents for each; it carries the marks of the passes before, and is written to
+the shared folder before the next begins, so an executor holds one shard at a time whatever the benchmark's size.
 
 Defined results: words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a null or empty text has none and is
-clean; an item without words has no window; items with a null id count as items but have no id to list; repeated items
-and repeated windows count once by id; repeated documents are judged each; other columns stay, and a column of a
+clean; an item without words has no window; the items of one id are one item, and those with a null id are together one that
+counts but has no id to list; repeated windows count once; repeated documents are judged each; other columns stay, and a column of a
 result's name is replaced; empty tables are fine on either side.
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from . import textbytes as tb
 
 SIZE, SHARD = 10, 200_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -84,7 +86,7 @@ class Tables:
 
 
 def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """``pattern, items``: each distinct window of words (joined by spaces) and the numbers of the items that have it."""
+    """``pattern, item``: the distinct windows of words (joined by spaces) of each item (its id as a string, or null)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +96,13 @@ def windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
                 for a in range(max(1, len(w) - size + 1) if w else 0):
                     item.append(i)
                     out.append(b" ".join(w[a : a + size]).decode())
+                if len(out) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(out, pa.string())], names=["item", "pattern"])
+                    item, out = [], []
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(out, pa.string())], names=["item", "pattern"])
 
     source = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
-    # an id of an item: its text form, or null
-    return source.mapInArrow(cut, "item string, pattern string").groupBy("pattern").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("anonymous"))
+    return source.mapInArrow(cut, "item string, pattern string").distinct()
 
 
 def _load(rows: list) -> list[Tables]:
@@ -115,14 +119,20 @@ _OPEN: dict[str, list[Tables]] = {}
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, shard: int = SHARD, text: str = "text") -> DataFrame:
     """``documents`` with ``n_words, n_hit, n_items, items_sha256, contaminated``, the ``item_ids`` found and ``hit_spans`` (first
     and last word of each run of hit words)."""
-    patterns = scratch.keep(windows(benchmark, size), "windows")
-    total = patterns.count()
-    shards = max(1, -(-total // shard))
+    pairs = scratch.keep(windows(benchmark, size), "windows")
+    shards = max(1, -(-pairs.count() // shard))
     out = documents.select(*(c for c in documents.columns if c not in (*RESULTS, "_marks", "_items")), F.lit(None).cast("binary").alias("_marks"), F.lit(None).cast("array<string>").alias("_items"))
     for k in range(shards):
-        mine = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k) if shards > 1 else patterns
-        rows = [r.asDict() for r in mine.orderBy("pattern").collect()]  # about ``shard`` windows
-        out = _pass(out, text, documents.sparkSession.sparkContext.broadcast(rows), k == shards - 1)
+        mine = pairs.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(shards)) == k) if shards > 1 else pairs
+        mine = mine.groupBy("pattern").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("anonymous"))
+        rows = [r.asDict() for r in mine.orderBy("pattern").collect()]  # about ``shard`` pairs
+        shared, before = documents.sparkSession.sparkContext.broadcast(rows), out
+        out = _pass(out, text, shared, k == shards - 1)
+        if k < shards - 1:
+            out = scratch.keep(out, "marked")
+            shared.destroy()
+        if k and k < shards - 1:
+            scratch.drop(before)
     return out
 
 
@@ -141,7 +151,7 @@ def _pass(documents: DataFrame, text: str, shared, last: bool) -> DataFrame:
             _OPEN.clear()
             _OPEN[key] = _load(shared.value)
         tables = _OPEN[key]
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in tb.chunks(tb.text_bytes(b.column(where))[1])):
             rows = []
             for t, old, known in zip(batch.column(where), batch.column(spark_items - 1), batch.column(spark_items)):
                 w = words(t.as_py())
