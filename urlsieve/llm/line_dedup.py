@@ -2,11 +2,12 @@
 
 1. Documents give the 128-bit hashes of their distinct line keys; counting them by hash finds the keys of at least
    ``min_docs`` documents.
-2. These hashes are dealt to shards; each shard becomes a minimal perfect hash (levels of collision-free bit arrays,
-   Limasset et al. 2017) with a compact array of 64-bit fingerprints and one of counts, in the slot order of the hash.
-3. Documents probe the arrays; lines are never joined.  Shards are broadcast in groups of at most ``GROUP_KEYS`` keys, so
-   the memory of a pass is bounded; with more keys, there is one pass over the documents for each group, and the rows of
-   a document carry the marks of its lines along.
+2. These hashes are dealt to shards; each shard becomes a minimal perfect hash (levels of collision-free bit arrays, packed,
+   with their ranks; Limasset et al. 2017) with a compact array of 64-bit fingerprints and one of 32-bit counts, in the slot
+   order of the hash: about 13 bytes a key.
+3. Documents probe the arrays; lines are never joined.  Shards are broadcast in groups of at most ``GROUP_BYTES``, with one pass
+   over the documents for each group; rows carry the marks of their lines along, and are written to the shared folder before
+   the next pass begins, so an executor holds one group at a time.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; empty keys are never dropped.
 
@@ -33,32 +34,46 @@ from . import scratch
 from . import textbytes as tb
 
 MIN_DOCS, MIN_CHARS = 10, 1
-#: Keys in one shard and in one broadcast group (about 13 bytes a key).
-SHARD_KEYS, GROUP_KEYS = 1 << 16, 1 << 22
+#: Keys in one shard (on average), and bytes of the shards broadcast together.
+SHARD_KEYS, GROUP_BYTES = 1 << 16, 64 << 20
 GAMMA = 2.0
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+@dataclass
+class Level:
+    """A bit array, and the number of set bits before each of its 64-bit words (and in the levels above)."""
+
+    size: int
+    words: np.ndarray
+    before: np.ndarray
+
+    def slot(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the bits at these places are set, and their ranks."""
+        word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+        below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        return (word >> bit & np.uint64(1)).astype(bool), self.before[at >> 6].astype(np.int64) + below
+
+
 @dataclass
 class Shard:
     """A minimal perfect hash of 64-bit keys, and the arrays it indexes."""
 
-    levels: list[tuple[np.ndarray, np.ndarray]]  # bits, and their running count, by level
+    levels: list[Level]
     fingerprint: np.ndarray
     count: np.ndarray
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 for a key that no level has. Keys outside the set may land anywhere."""
         out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for depth, (bits, before) in enumerate(self.levels):
-            at = _place(keys[left], depth, len(bits))
-            hit = bits[at]
-            out[left[hit]] = before[at[hit]]
+        for depth, level in enumerate(self.levels):
+            hit, rank = level.slot(_place(keys[left], depth, level.size))
+            out[left[hit]] = rank[hit]
             left = left[~hit]
         return out
 
     def counts(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """The count of each key; 0 for those whose fingerprint differs."""
+        """The count of each key (up to 2^32 - 1); 0 for those whose fingerprint differs."""
         at = self.slot(keys)
         found = at >= 0
         found[found] = self.fingerprint[at[found]] == prints[found]
@@ -75,15 +90,18 @@ def build(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> Shard:
     """The minimal perfect hash of distinct ``keys``."""
     levels, left, used, depth = [], np.arange(len(keys)), 0, 0
     while len(left):
-        at = _place(keys[left], depth, max(1, int(GAMMA * len(left))))
-        bits = np.bincount(at, minlength=max(1, int(GAMMA * len(left)))) == 1
-        levels.append((bits, used + np.cumsum(bits) - bits))
-        used += int(bits.sum())
-        left = left[~bits[at]]
+        size = max(1, int(GAMMA * len(left)))
+        at = _place(keys[left], depth, size)
+        alone = np.bincount(at, minlength=-(-size // 64) * 64) == 1
+        words = np.packbits(alone, bitorder="little").view("<u8")
+        ones = np.bitwise_count(words).astype(np.uint32)
+        levels.append(Level(size, words, (used + np.cumsum(ones) - ones).astype(np.uint32)))
+        used += int(ones.sum())
+        left = left[~alone[at]]
         depth += 1
-    shard = Shard(levels, np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64))
+    shard = Shard(levels, np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32))
     at = shard.slot(keys)
-    shard.fingerprint[at], shard.count[at] = prints, counts
+    shard.fingerprint[at], shard.count[at] = prints, np.minimum(counts, (1 << 32) - 1)
     return shard
 
 
@@ -133,30 +151,37 @@ def frequent_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     return lines.groupBy("k", "f", "doc_id").agg(F.lit(1).alias("one")).groupBy("k", "f").agg(F.sum("one").alias("n")).where(F.col("n") >= min_docs)
 
 
-def index(lines: DataFrame) -> tuple[DataFrame, int, int]:
-    """``shard, body`` rows, the number of shards and that of keys. ``lines`` comes from :func:`frequent_lines`."""
+def index(lines: DataFrame) -> tuple[DataFrame, int]:
+    """``shard, body`` rows and the number of shards. ``lines`` comes from :func:`frequent_lines`."""
     lines = scratch.keep(lines, "frequent-lines")
-    total = lines.count()
-    shards = max(1, -(-total // SHARD_KEYS))
+    shards = max(1, -(-lines.count() // SHARD_KEYS))
+
     def one(key: tuple, table: pa.Table) -> pa.Table:
         u = lambda c: table[c].to_numpy().view(np.uint64)
         body = pickle.dumps(build(u("k"), u("f"), table["n"].to_numpy()))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([body], pa.binary())})
 
     dealt = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("k", 20), F.lit(shards)).cast("int"))
-    return scratch.keep(dealt.groupBy("shard").applyInArrow(one, "shard int, body binary"), "line-index"), shards, total
+    return scratch.keep(dealt.groupBy("shard").applyInArrow(one, "shard int, body binary"), "line-index"), shards
 
 
-def line_dedup(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
+def line_dedup(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``documents`` with ``text`` rewritten (null stays null unless lines were dropped), ``n_lines``, ``n_dropped`` and ``kept_sha256``."""
     spark = documents.sparkSession
-    table, shards, total = index(frequent_lines(documents, min_docs, min_chars, text))
-    per_group = max(1, GROUP_KEYS // SHARD_KEYS)
+    table, shards = index(frequent_lines(documents, min_docs, min_chars, text))
+    largest = table.agg(F.max(F.length("body"))).first()[0] or 1
+    per_group = max(1, group_bytes // largest)
     out = documents.select(*(c for c in documents.columns if c not in ("n_lines", "n_dropped", "kept_sha256", "_hit")), F.lit(None).cast("binary").alias("_hit"))
     for first in range(0, shards, per_group):
-        rows = table.where(F.col("shard").between(first, first + per_group - 1)).collect()  # at most GROUP_KEYS keys
+        last, before = first + per_group >= shards, out
+        rows = table.where(F.col("shard").between(first, first + per_group - 1)).collect()  # at most ``group_bytes``
         shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["body"]) for r in rows})
-        out = _probe(out, text, shared, shards, first + per_group >= shards)
+        out = _probe(out, text, shared, shards, last)
+        if not last:
+            out = scratch.keep(out, "marked")
+            shared.destroy()
+            if first:
+                scratch.drop(before)
     return out
 
 
