@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textbytes as tb
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -54,7 +56,11 @@ _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|$))", re.I)
+#: One attribute at a time, value included, so that no word inside a value is taken for a name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_NAMES = frozenset(("class", "id", "role", "hidden", "style", "aria-hidden"))
+#: A page or container *with* a sidebar is not one.
+_WITH = re.compile(r"(?:^|(?<=[\s_-]))(?:with|has|no|without)[_-][^\s]*")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -71,10 +77,12 @@ def _left_out(tag: str, attributes: str) -> bool:
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if name not in _NAMES:
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _BAD.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()):
+        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _BAD.search(_WITH.sub("", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())):
             return True
     return False
 
@@ -221,7 +229,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     schema = pages.select(*names).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in tb.chunks(tb.text_bytes(b.column(len(names)))[1])):
             texts = [main_text(x.as_py()) for x in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 
