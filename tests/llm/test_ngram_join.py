@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from urlsieve.llm import ngram_join
+from urlsieve.llm import textbytes as tb
 from urlsieve.llm.components import components
 
 
@@ -55,6 +57,33 @@ def test_against_all_pairs(spark, monkeypatch, hubs):
     assert got[3]["tid"] == 9
 
 
+def test_each_order_cuts_pairs_and_keeps_the_similar_ones():
+    r = random.Random(9)
+    base = [r.randrange(1 << 63) for _ in range(1500)]
+    sets = []
+    for _ in range(60):  # neighbours share three quarters, a few almost all
+        at = r.randrange(1200)
+        sets.append(np.array(sorted({*base[at : at + 200], *(r.randrange(1 << 63) for _ in range(r.randint(0, 40)))}), np.uint64))
+    p = [ngram_join.prefix_length(len(x), 80) for x in sets]
+    first = [set(x[np.argsort(tb.mix(x))[:k]].tolist()) for x, k in zip(sets, p)]
+    marks = [ngram_join.signatures(x, k) for x, k in zip(sets, p)]
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    one = [(i, j) for i, j in pairs if first[i] & first[j]]
+    two = [(i, j) for i, j in one if ngram_join.meet(marks[i][0], marks[j][0])]
+    three = [(i, j) for i, j in two if ngram_join.meet(marks[i][1], marks[j][1])]
+    true = [(i, j) for i, j in pairs if ngram_join.similar(sets[i], sets[j], 80)]
+    assert true and set(true) <= set(three)
+    assert len(pairs) > len(one) > len(two) > len(three)
+
+
+def test_pairs_are_cut_before_texts_travel(spark):
+    a, b = np.arange(1, 100, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
+    rows = [(i, *ngram_join.signatures(x, 21)) for i, x in enumerate((a, a[:-1], b))]
+    classes = spark.createDataFrame([(i, bytearray(x), bytearray(y)) for i, x, y in rows], "s long, second binary, third binary")
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "a long, b long")
+    assert [tuple(x) for x in ngram_join.met_everywhere(pairs, classes).collect()] == [(1, 0)]
+
+
 def test_one_of_each_with_null_and_repeated_ids(spark):
     a, b = "one two three four five six", "seven eight nine"
     rows = spark.createDataFrame([(None, a), (4, a), (4, a), (5, a), (None, b), (None, b), (7, ""), (7, ""), (None, None)], "doc_id long, text string")

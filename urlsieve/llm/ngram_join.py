@@ -2,8 +2,9 @@
 
 Documents are sets of word shingles.  Two sets of Jaccard similarity t or more share a token of their prefixes (the first
 ``n - ceil(t n) + 1`` tokens) under *every* global order of tokens.  Candidates meet on prefix tokens of a first order, rare
-tokens first, where the places of the first shared token still allow the similarity; they go on only if their prefixes under a second and a third order (two independent permutations) meet as
-well, and what passes all filters is verified on the whole sets.
+tokens first, where the places of the first shared token still allow the similarity.  They go on only if their prefixes under a
+second and a third order (two independent permutations) meet as well: each set carries a signature of these prefixes, 16
+bits a token, so pairs are cut before any text travels.  What passes all filters is verified on the whole sets.
 
 The first order needs frequencies, but any function of the token is a valid order: a fixed-size count sketch over all
 documents gives them, so nothing that grows with the vocabulary is broadcast, and its collisions cost time only.
@@ -96,14 +97,15 @@ def sketch(documents: DataFrame, cells: int, size: int) -> np.ndarray:
 
 
 def _records(texts: DataFrame, levels, cells: int, size: int, percent: int) -> DataFrame:
-    """``doc_id, tid, s, n, prio, prefix``: the set's hash and size, how common its tokens are, its prefix in the first order."""
+    """``doc_id, tid, s, n, prio, prefix, second, third``: the set's hash and size, how common its tokens are, its prefix in the first
+    order, the signatures of those in the others."""
     shift = np.uint64(65 - cells.bit_length())
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
         for batch in batches:
-            name, count, prio, prefix, rows = [], [], [], [], []
+            name, count, prio, prefix, rows, others = [], [], [], [], [], []
             for row, tokens in shingle_sets(batch.column(2), size):
                 n = len(tokens)
                 level = level_of[(tokens >> shift).astype(np.int64)].astype(np.uint64)
@@ -118,52 +120,74 @@ def _records(texts: DataFrame, levels, cells: int, size: int, percent: int) -> D
                 # how common the tokens are, then the size, then bits of the name that break ties
                 prio.append((int(level.mean() * 4) << 53 | n << 25 if n else 0) | s & ((1 << 25) - 1))
                 prefix.append(first)
+                others.append(signatures(tokens, p))
                 if len(rows) >= 2000:
-                    yield _batch(batch, rows, name, count, prio, prefix)
-                    name, count, prio, prefix, rows = [], [], [], [], []
-            yield _batch(batch, rows, name, count, prio, prefix)
+                    yield _batch(batch, rows, name, count, prio, prefix, others)
+                    name, count, prio, prefix, rows, others = [], [], [], [], [], []
+            yield _batch(batch, rows, name, count, prio, prefix, others)
 
-    def _batch(batch, rows, name, count, prio, prefix) -> pa.RecordBatch:
+    def _batch(batch, rows, name, count, prio, prefix, others) -> pa.RecordBatch:
         at = pa.array(rows, pa.int64())
         ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
         flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
         names_ = pa.array(np.array(name, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), names_, pa.array(count, pa.int32()), pa.array(prio, pa.int64()), lists], names=["doc_id", "tid", "s", "n", "prio", "prefix"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), names_, pa.array(count, pa.int32()), pa.array(prio, pa.int64()), lists, *(pa.array([x[k] for x in others], pa.binary()) for k in (0, 1))], names=["doc_id", "tid", "s", "n", "prio", "prefix", "second", "third"])
 
-    return texts.select("doc_id", "tid", "text").mapInArrow(run, f"doc_id {kind}, tid long, s long, n int, prio long, prefix array<long>")
+    return texts.select("doc_id", "tid", "text").mapInArrow(run, f"doc_id {kind}, tid long, s long, n int, prio long, prefix array<long>, second binary, third binary")
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(a, b, assume_unique=True))
+def signatures(tokens: np.ndarray, p: int) -> list[bytes]:
+    """Sixteen bits of each token of the prefixes of length ``p`` under the two permutations, sorted."""
+    out = []
+    for salt in (_SECOND, _THIRD):
+        key = tb.mix(tokens ^ salt)
+        if 0 < p < len(key):
+            key = np.partition(key, p - 1)[:p]
+        out.append(np.unique((key & np.uint64(0xFFFF)).astype("<u2")).tobytes())
+    return out
 
 
-def similar(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int) -> bool:
-    """Whether the prefixes of both sets meet under each permutation and the whole sets have the similarity."""
-    if not all(np.isin(p, q, assume_unique=True).any() for p, q in zip(x[1:], y[1:])):
-        return False
-    both = _meet(x[0], y[0])
-    return 100 * both >= percent * (len(x[0]) + len(y[0]) - both)
+def meet(u: bytes, v: bytes) -> bool:
+    """Whether two signatures have a value in common."""
+    x, y = np.frombuffer(u, "<u2"), np.frombuffer(v, "<u2")
+    return len(x) > 0 and bool((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).any())
 
 
-def verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``a, b`` pairs whose prefixes meet under the other orders and whose sets have the similarity. Texts travel, not sets:
-    they are a fifth of the size."""
-    side = lambda c: bodies.select(F.col("s").alias(c), F.col("text").alias(f"text_{c}"))
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def orders(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
-        p = prefix_length(len(tokens), percent)
-        return (tokens, *(np.sort(tb.mix(tokens ^ salt))[:p] for salt in (_SECOND, _THIRD)))
+
+def met_everywhere(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``a, b`` pairs whose prefixes can meet under the second and the third order too."""
+    side = lambda c: classes.select(F.col("s").alias(c), F.col("second").alias(f"second_{c}"), F.col("third").alias(f"third_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            seconds, thirds = (zip(get(f"{c}_a").to_pylist(), get(f"{c}_b").to_pylist()) for c in ("second", "third"))
+            keep = [meet(*u) and meet(*v) for u, v in zip(seconds, thirds)]
+            yield pa.RecordBatch.from_arrays([get("a"), get("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """The ``a, b`` pairs whose prefixes meet under all orders and whose sets have the similarity. Texts travel, not sets: they
+    are a fifth of the size."""
+    side = lambda c: bodies.select(F.col("s").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             for at in range(0, batch.num_rows, 64):
                 a, b = (get(c).slice(at, 64) for c in ("a", "b"))
-                x, y = ([orders(t) for _, t in shingle_sets(get(c).slice(at, 64), size)] for c in ("text_a", "text_b"))
+                x, y = ([t for _, t in shingle_sets(get(c).slice(at, 64), size)] for c in ("text_a", "text_b"))
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array([similar(u, v, percent) for u, v in zip(x, y)], pa.bool_()))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    left = scratch.keep(met_everywhere(pairs, classes), "met-everywhere")
+    return left.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _near(a: str, b: str, at_a: str, at_b: str, percent: int):
@@ -176,12 +200,13 @@ def _near(a: str, b: str, at_a: str, at_b: str, percent: int):
 
 def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, root`` of the set classes that have links."""
-    classes = records.where("n > 0").groupBy("s").agg(F.first("prio").alias("prio"), F.first("prefix").alias("prefix"))
+    # one row of each set before anything is joined by it: copies meet in partial aggregates
+    one = F.min(F.struct("doc_id", "tid", "prio", "prefix", "second", "third")).alias("r")
+    classes = scratch.keep(records.where("n > 0").groupBy("s").agg(one).select("s", "r.*"), "set-classes")
     postings = classes.select("s", "prio", F.posexplode("prefix").alias("at", "token")).repartition("token")
     lists = postings.groupBy("token").agg(F.count("*").alias("members"), F.max_by("s", "prio").alias("hub"), F.max_by("at", "prio").alias("hub_at"), F.max("prio").alias("hub_prio")).where("members > 1")
     lists = scratch.keep(postings.join(lists.hint("shuffle_hash"), "token"), "lists")
-    wanted = records.select("s", "tid", "doc_id").join(lists.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "tid")).alias("r"))
-    wanted = scratch.keep(wanted.select("s", F.col("r.doc_id").alias("doc_id"), F.col("r.tid").alias("tid")), "wanted")
+    wanted = scratch.keep(classes.select("s", "tid", "doc_id").join(lists.select("s").distinct(), "s", "left_semi"), "wanted")
     same = (texts["tid"] == wanted["tid"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])
     bodies = scratch.keep(texts.join(wanted, same).select(wanted["s"], texts["text"]), "bodies")
     if bodies.select("s").count() > wanted.count():  # a row of one id and text that is there more than once
@@ -190,7 +215,7 @@ def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int)
 
     first = lists.where("s <> hub").where(_near("prio", "hub_prio", "at", "hub_at", percent))
     pairs = scratch.keep(first.groupBy("s").agg(F.max_by("hub", "hub_prio").alias("hub")).select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct(), "pairs")
-    seen, links = pairs, scratch.keep(verify(pairs, bodies, size, percent), "links")
+    seen, links = pairs, scratch.keep(verify(pairs, classes, bodies, size, percent), "links")
     members = lists.select("token", "s", "prio", "at")
     roots = scratch.keep(components(links), "roots")
     while True:
@@ -208,7 +233,7 @@ def link_classes(records: DataFrame, texts: DataFrame, size: int, percent: int)
         met = open_members.join(hubs, "token").where("root <> hub_root").where(_near("prio", "hub_prio", "at", "hub_at", percent))
         pairs = scratch.keep(met.select(F.greatest("s", "hub").alias("a"), F.least("s", "hub").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            found = scratch.keep(verify(pairs, bodies, size, percent), "links")
+            found = scratch.keep(verify(pairs, classes, bodies, size, percent), "links")
             seen = seen.union(pairs)
             if not found.isEmpty():
                 links = links.union(found)
