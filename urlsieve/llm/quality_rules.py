@@ -4,7 +4,7 @@
 ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``p_low`` and ``kept`` (a column of one of these names is replaced).
 
 Defined results: a null or empty text has no words, so it fails the base rule (``n_words < 20``) and is not kept; labels
-with a null id or a null quality are ignored; a document labelled twice counts with both labels; repeated rows are judged
+with a null id or a null quality are ignored; ids of different types meet as strings; a document labelled twice counts with both labels; repeated rows are judged
 each on their own and alike; with no usable labels, or one class only, the model is the base rate of that sample, and a
 sample without any rows keeps all that pass the base rules; empty tables give empty results.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import logit
 from . import textbytes as tb
 
-#: Hash buckets of the model, labelled rows it is fitted on at most, and the probability of low quality that rejects.
-BUCKETS, SAMPLE, REJECT = 1 << 18, 3000, 0.5
+#: Hash buckets of the model, labelled rows and bytes of their texts that it is fitted on at most, and the probability of low quality that rejects.
+BUCKETS, SAMPLE, SAMPLE_BYTES, REJECT = 1 << 18, 3000, 8 << 20, 0.5
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -94,17 +94,24 @@ def features(data: np.ndarray, offsets: np.ndarray, words: tuple) -> list[tuple[
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> logit.Logit:
-    """A model of P(low quality) from at most ``sample`` labelled rows, the first in the order of a hash of their ids."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, text: str = "text") -> logit.Logit:
+    """A model of P(low quality) from labelled rows, the first in the order of a hash of their ids: at most ``sample`` of them,
+    whose texts have at most ``sample_bytes`` together (a text that would pass that is left out, and those after it)."""
+    kinds = [df.schema["doc_id"].dataType for df in (documents, labels)]
+    named = lambda df: F.col("doc_id").cast(kinds[0] if kinds[0] == kinds[1] else "string").alias("_id")
     chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_q"))
+        labels.select(named(labels), F.col("quality").cast("int").alias("_q"))
         .where(F.col("_id").isNotNull() & F.col("_q").isin(0, 1))
         .orderBy(F.xxhash64("_id"), "_id", "_q")
         .limit(sample)
     )
-    texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
-    # the same bound again: a document id that is repeated must not lengthen the sample
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_q", F.xxhash64("_text")).limit(sample).toArrow()
+    texts = documents.select(named(documents), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    # the same bounds again: a document id that is repeated must not lengthen the sample, nor long texts
+    joined = texts.join(F.broadcast(chosen), "_id").withColumn("_t", F.xxhash64("_text"))
+    order = (F.xxhash64("_id"), "_id", "_q", "_t")
+    sizes = [r[0] for r in joined.orderBy(*order).limit(sample).select(F.octet_length("_text")).collect()]
+    n = int((np.cumsum(sizes) <= sample_bytes).sum()) if sizes else 0
+    rows = joined.orderBy(*order).limit(n).toArrow()
     if rows.num_rows == 0:
         return logit.Logit(np.zeros(BUCKETS, np.float32), -20.0)
     data, offsets = tb.text_bytes(rows["_text"])
@@ -118,7 +125,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> logit.
 
 def quality_rules(documents: DataFrame, labels: DataFrame, reject: float = REJECT, sample: int = SAMPLE, text: str = "text") -> DataFrame:
     """``documents`` with the base counts and the verdict; see the module's docstring."""
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample))
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample, text=text))
     names = [c for c in documents.columns if c not in (*COUNTS, "base_failed", "p_low", "kept")]
     schema = documents.select(*names).schema
     for c, kind in (*((c, "long") for c in COUNTS), ("base_failed", "boolean"), ("p_low", "double"), ("kept", "boolean")):
