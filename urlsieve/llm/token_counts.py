@@ -47,7 +47,9 @@ def limits(lengths: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("top", F.floor(F.col("block") / BLOCK))
     after = Window.partitionBy("top").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     tops = blocks.groupBy("top").agg(F.sum("n_docs").alias("top_docs"), F.sum("n_tokens").alias("top_tokens"))
-    later = tops.alias("a").join(tops.alias("b"), F.col("b.top") > F.col("a.top"), "left").groupBy(F.col("a.top").alias("top")).agg(F.coalesce(F.sum("b.top_docs"), F.lit(0)).alias("top_docs"), F.coalesce(F.sum("b.top_tokens"), F.lit(0)).alias("top_tokens"))
+    # one row for each 2^20 ids of the longest document's length
+    above = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
+    later = tops.select("top", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("top_docs", "top_tokens")))
     blocks = blocks.select("block", "top", F.coalesce(F.sum("n_docs").over(after), F.lit(0)).alias("b_docs"), F.coalesce(F.sum("n_tokens").over(after), F.lit(0)).alias("b_tokens")).join(later, "top").select("block", (F.col("b_docs") + F.col("top_docs")).alias("b_docs"), (F.col("b_tokens") + F.col("top_tokens")).alias("b_tokens"))
     total = lengths.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("length") * F.col("n_docs")).alias("all_tokens"))
     docs_over = F.col("n_docs_from") + F.col("b_docs") - F.col("n_docs")
