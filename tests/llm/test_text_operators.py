@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -56,17 +57,21 @@ def test_minimal_perfect_hash():
     assert not shard.counts(keys + np.uint64(1), prints).any()
 
 
-@pytest.mark.parametrize("group", [1 << 22, 1])
+def test_index_takes_about_thirteen_bytes_a_key():
+    keys = np.random.default_rng(1).integers(0, 2**63, 1 << 16).astype(np.uint64)
+    assert len(pickle.dumps(line_dedup.build(keys, keys, np.ones(len(keys), np.int64)))) < 13.2 * len(keys)
+
+
+@pytest.mark.parametrize("group", [line_dedup.GROUP_BYTES, 1])
 def test_line_dedup_against_brute_force(spark, monkeypatch, group):
     if group == 1:  # many shards, a pass for each
         monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
-        monkeypatch.setattr(line_dedup, "GROUP_KEYS", 2)
     r = random.Random(2)
     lines = ["Common", " common\t", "é", "É", "", " ", "a b", "A B\r"] + [f"line {i}" for i in range(12)]
     docs = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 8)))) for i in range(30)] + [(50, None), (51, ""), (3, "Common\nnew")]
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     seen = Counter(k for k, _ in {(key(x), i) for i, t in docs for x in (t or "").split("\n")})
-    got = line_dedup.line_dedup(spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, k int"), 4).collect()
+    got = line_dedup.line_dedup(spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, k int"), 4, group_bytes=group).collect()
     want = []
     for i, t in docs:
         all_ = (t or "").split("\n")
@@ -108,6 +113,9 @@ def test_quality_model_on_held_out_rows(spark):
     held = [got[i] for i in range(300, 400) if not got[i]["base_failed"]]
     assert len(held) > 50 and all(x["kept"] == (x["doc_id"] % 4 != 0) for x in held)
     assert not any(got[i]["kept"] for i in (900, 901, 902))
+    other = spark.createDataFrame([(f"d{x[0]}", x[1]) for x in docs], "doc_id string, body string")
+    named = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(other, spark.createDataFrame([(f"d{i}", q) for i, q, _ in labels if i is not None], "doc_id string, quality int"), text="body").collect()}
+    assert all(named[f"d{i}"] == (i % 4 != 0) for i in range(300, 400) if not got[i]["base_failed"])
     none = quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, kept string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert all(x["kept"] != x["base_failed"] for x in none.collect())
 
@@ -176,9 +184,63 @@ def test_token_counts(spark, monkeypatch):
     assert {x["share"]: x["length"] for x in token_counts.quantiles(table, [0.5, 1.0]).collect()} == {0.5: 3, 1.0: 64}
 
 
+# --- long texts, empty tables, nulls and clashes
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """A text of over a chunk's bytes gives what its brute force gives, beside short ones."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    long = "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(26_000)) + "\nfooter"
+    assert len(long) > tb.CHUNK
+    rows = spark.createDataFrame([(0, "short footer"), (1, long), (2, None), (3, "\nFOOTER"), (4, "footer ")], "doc_id long, text string")
+    lines = {x["doc_id"]: (x["n_lines"], x["n_dropped"]) for x in line_dedup.line_dedup(rows, 3).collect()}
+    assert lines == {0: (1, 0), 1: (26_001, 1), 2: (1, 0), 3: (2, 1), 4: (1, 1)}
+    judged = {x["doc_id"]: x for x in quality_rules.quality_rules(rows, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert (judged[1]["n_words"], judged[1]["word_chars"]) == (26_000 * 12 + 1, len("".join(long.split())))
+    item = " ".join(long.split()[200_000:200_010])
+    clean = {x["doc_id"]: x["n_hit"] for x in decontaminate.decontaminate(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert clean == {0: 0, 1: 10, 2: 0, 3: 0, 4: 0}
+    sizes = {x["doc_id"]: x["doc_tokens"] for x in packing.pack(rows, with_ids=False).collect()}
+    assert sizes[1] == len(packing.tk.encoder(packing.tk.share(spark))(long)) + 1
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_hit string, n_lines string, kept string, length string, n_chars string")
+    items = spark.createDataFrame([], "item_id long, text string")
+    one = spark.createDataFrame([(1, "a b c", "x"), (None, None, None), (1, "a b c", "x")], "doc_id long, text string, n_docs string")
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    assert [x["n_hit"] for x in decontaminate.decontaminate(one, items).collect()] == [0, 0, 0]
+    assert line_dedup.line_dedup(docs).count() == 0
+    assert quality_rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+    assert packing.pack(docs).count() == 0
+    assert token_counts.histogram(docs).count() == 0 and token_counts.limits(token_counts.histogram(docs)).count() == 0
+    assert sum(x["n_docs"] for x in token_counts.histogram(one).collect()) == 3
+    pages = spark.createDataFrame([], "page_id long, url string, verdict string")
+    labels = spark.createDataFrame([], "url string, label int")
+    assert url_filter.judge(pages, labels).count() == 0
+    again = url_filter.judge(spark.createDataFrame([("http://a.com/x", 1)] * 2, "url string, host int"), labels).collect()
+    assert [(x["host"], x["verdict"]) for x in again] == [("a.com", "allow")] * 2
+
+
 # --- html and urls
 
 
+def test_words_inside_attribute_values_are_not_attributes():
+    for head in ('title="a hidden gem"', "title='my class=menu list'", 'data-x="role=navigation" title="style=display:none"', 'alt="x" hiddenish class="body with-sidebar"', "title = 'id=ads' class = post"):
+        assert html_text.main_text(f"<div><p {head}>A sentence that stays, as it should, in the text.</p></div>") == "A sentence that stays, as it should, in the text."
+    for head in ("hidden", 'class="x menu"', "role = navigation", "class='side-bar'", 'title="ok" style="display: none"', "class=ads"):
+        assert html_text.main_text(f"<div><p>Kept.</p><p {head}>Gone.</p></div>") == "Kept."
+
+
+def test_extract_rows(spark):
+    page = "<body><article><p>One, two.</p></article></body>"
+    rows = [(1, "u", page, 7, "x"), (1, "u", page, 7, "x"), (2, None, None, None, None), (None, "v", "", 1, "y"), (3, "w", "<p>" + "long, text " * 150_000 + "</p>", 0, "z")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect()
+    assert [(x["page_id"], x["url"], x["text"][:9], x["n_chars"]) for x in got] == [(1, "u", "One, two.", 9)] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", "long, tex", len("long, text " * 150_000) - 1)]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_main_text():
     page = (
         '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- c -->'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ KEY = "spark.checkpoint.dir"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one of our own only where it is unset (local tests)."""
+    """The shared folder named by the session. Where it is unset, a temporary one of our own, but only in a session of one
+    process (tests): on a cluster each machine would write to its own disk."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not found:
+        if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError(f"{KEY} has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
