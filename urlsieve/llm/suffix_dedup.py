@@ -11,7 +11,7 @@ would sort a rank pair for each byte of the corpus nine times over; here ranks a
 * A round ranks: names travel packed in Arrow batches to one of many parts by hash, where they are sorted.  A union found at
   two places settles the node, all its strings are repeated; one node of each such union stays to be compared with.  Of the
   rest, a node stays open if its core is found elsewhere.  Open ranges are cut for the next round, so cores grow towards L
-  bytes; after three rounds ranges hold one start, and core and union are the L bytes themselves.
+  bytes; after four rounds ranges hold one start, and core and union are the L bytes themselves.
 
 Equal texts are ranked once, as one text; texts of L bytes or more that occur twice are removed whole.  Names that a task
 has met twice already are settled there, so a name found everywhere travels once for each task.
@@ -36,7 +36,7 @@ from . import textbytes as tb
 
 MIN_BYTES = 400
 #: Ranges that a range is cut into in each round after the first; the last makes single starts.
-CUTS = (4, 1 << 30)
+CUTS = (4, 4, 1 << 30)
 #: Bytes of text for each part that names are dealt to, and repeated names that a task remembers.
 PART_BYTES, KNOWN = 32 << 20, 1 << 20
 PROP, MULTI = 1, 2
@@ -190,6 +190,7 @@ def _named(texts: DataFrame, min_bytes: int, cut: int, parts: int) -> DataFrame:
                 alive = np.flatnonzero(use[row] & (pos - lo >= beg) & (pos - hi + min_bytes <= end))
                 row, pos, lo, hi, flag, beg, end = (c[alive] for c in (row, pos, lo, hi, flag, beg, end))
                 core, u1, u2 = names(body, pos, lo, hi, beg, end, min_bytes)
+                core[lo == hi] = 0  # single starts are ranked by their unions alone
                 t, pos = ids[a:b][row], pos - beg
                 order, new, _ = groups(u1, u2, t, pos)
                 size = np.diff(np.append(np.flatnonzero(new), len(order)))
@@ -253,14 +254,17 @@ def _by_core(nodes: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, min_bytes: int = MIN_BYTES, parts: int = 1) -> tuple[DataFrame, DataFrame]:
     """``t, value`` (packed spans) of repeated strings, covering all of them, for the distinct texts of ``t, doc_id, text`` rows; and
     the rows ``t, text`` that have any."""
-    state, rows, spans = texts.select("t", "text"), None, None
+    state, rows, spans, held = texts.select("t", "text"), None, None, []
     for cut in (0, *CUTS):
         found = scratch.keep(_by_union(_named(state, min_bytes, cut, parts), min_bytes, parts), "ranked")
-        done = found.where("part < 0").select("t", "value")
+        done = scratch.keep(found.where("part < 0").select("t", "value"), "spans")
         spans = done if spans is None else spans.union(done)
         if cut == CUTS[-1]:
+            scratch.drop(found)
             break
         left = scratch.keep(_by_core(found.where("part >= 0")).groupBy("t").agg(F.collect_list("value").alias("nodes")), "nodes")
+        scratch.drop(found, *held)
+        held = [left]
         if rows is None:
             wanted = done.select("t").union(left.select("t")).distinct()
             one = texts.groupBy("t").agg(F.min("doc_id").alias("rep")).join(wanted, "t")
