@@ -57,18 +57,67 @@ def test_history_search_is_literal(spark):
     assert found("100%") == [1] and found("C_D") == [3] and found("'") == []
 
 
+def limited(rows, most, window):
+    out, log = {}, {}
+    for c, i, s in sorted(rows, key=lambda x: (x[2], x[1])):
+        past = [t for t in log.get(c, []) if s - t < window]
+        ok = len(past) < most
+        out[i] = (ok, 0 if ok else max(1, int(window - (s - past[0])) + 1))
+        log[c] = past + [s] * ok
+    return out
+
+
+def reused(rows, ttl):
+    out, held = {}, {}
+    for o, i, s, ok in sorted(rows, key=lambda x: (x[2], x[1])):
+        at = held.get(o)
+        fresh = at is None or s - at >= ttl
+        out[i] = (fresh, s if fresh else at)
+        if fresh:
+            held[o] = s if ok else None
+    return out
+
+
+def test_clients_that_never_pause(spark):
+    """A busy client's hits come to a task in pieces, and the log goes from piece to piece."""
+    r = random.Random(5)
+    rows = [(1, i, 1_700_000_000 + i // 3) for i in range(6000)] + [(c, 10_000 * c + i, 1_700_000_000 + r.randint(0, 90_000)) for c in (2, 3, 4) for i in range(300)] + [(None, 7, 1_700_000_000), (None, 8, 1_700_000_001)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "client long, id long, s long").select("client", "id", F.timestamp_seconds("s").alias("ts"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {x["id"]: (x["allowed"], x["retry_after"]) for x in jobs.rate_limit(df, 4, 60.0).collect()}
+        assert got == limited(rows, 4, 60)
+        assert all(x["allowed"] for x in jobs.rate_limit(df, 0, 60.0).collect())
+        scans = [(f"https://h{c}", i, s, i % 4 != 0) for c, i, s in rows if c]
+        frame = spark.createDataFrame(scans, "origin string, id long, s long, ok boolean").select("origin", "id", F.timestamp_seconds("s").alias("ts"), "ok")
+        got = {x["id"]: (x["fresh"], int(x["scored_at"].timestamp())) for x in jobs.result_reuse(frame, 300.0).collect()}
+        assert got == reused(scans, 300)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert jobs.rate_limit(df.limit(0)).count() == 0
+
+
+def test_result_reuse_stream_equals_batch(spark, tmp_path):
+    r = random.Random(2)
+    scans = [(f"https://h{r.randint(1, 3)}", i, 1_700_000_000 + r.randint(0, 5000), r.random() < 0.8) for i in range(150)]
+    df = spark.createDataFrame(scans, "origin string, id long, s long, ok boolean").select("origin", "id", F.timestamp_seconds("s").alias("ts"), "ok")
+    path = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(path)
+    q = jobs.result_reuse_stream(spark.readStream.schema(df.schema).parquet(path), 300.0).writeStream.format("memory").queryName("reused").outputMode("append").start()
+    until = time.time() + 90
+    while spark.table("reused").count() < len(scans) and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    assert {x["id"]: (x["fresh"], int(x["scored_at"].timestamp())) for x in spark.table("reused").collect()} == reused(scans, 300)
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     r = random.Random(1)
     rows = [(r.randint(1, 3), i, 1_700_000_000 + r.randint(0, 600)) for i in range(120)]
     df = spark.createDataFrame(rows, "client long, id long, s long").select("client", "id", F.timestamp_seconds("s").alias("ts"))
     want = {x["id"]: (x["allowed"], x["retry_after"]) for x in jobs.rate_limit(df, 3, 60.0).collect()}
-    brute, log = {}, {}
-    for c, i, s in sorted(rows, key=lambda x: (x[2], x[1])):
-        past = [t for t in log.get(c, []) if s - t < 60]
-        ok = len(past) < 3
-        brute[i] = (ok, 0 if ok else max(1, int(60 - (s - past[0])) + 1))
-        log[c] = past + [s] * ok
-    assert want == brute
+    assert want == limited(rows, 3, 60)
     path = str(tmp_path / "in")
     df.coalesce(1).write.parquet(path)
     q = jobs.rate_limit_stream(spark.readStream.schema(df.schema).parquet(path), 3, 60.0).writeStream.format("memory").queryName("limited").outputMode("append").start()

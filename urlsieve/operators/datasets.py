@@ -50,6 +50,16 @@ def rank_key(column: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), column.cast("string")))
 
 
+def shuffle_rank(df: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
+    """``df`` with ``position``: a seeded shuffle, as places from 1. Places come from counts by hash prefix and windows inside a
+    prefix, so no window holds all rows; rows of one key stay next to each other."""
+    hashed = df.withColumn("_h", rank_key(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 3))
+    counts = hashed.groupBy("_p").agg(F.count("*").alias("_c"))  # at most 4,096 rows
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) + F.col("_s")
+    return hashed.join(F.broadcast(before), "_p").withColumn("position", place).select(*df.columns, "position")
+
+
 def split_groups(groups: DataFrame, seed: int = 42, key: str = "group", stratum: str = "y") -> DataFrame:
     """``groups`` with ``split``: within each stratum the first 80 %, next 10 % and last 10 % of the groups in the order of a seeded
     hash, cut at the floor of the shares.

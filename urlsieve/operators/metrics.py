@@ -21,19 +21,21 @@ def score_histogram(df: DataFrame, score: str = "p") -> DataFrame:
     return df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("p")).agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
-def prefix_sum(df: DataFrame, order: str, values: tuple[str, ...], descending: bool = True, buckets: int = 256) -> DataFrame:
-    """``df`` with ``cum_<v>``: running sums in the order of ``order`` (a number), the row itself included.
-
-    Rows are cut into equal-width buckets of the order column; sums run inside a bucket and over the buckets' totals."""
-    limits = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / buckets)
-    placed = df.join(F.broadcast(limits)).withColumn("_b", F.coalesce(F.least(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(buckets - 1)), F.lit(0)))
-    by = F.desc if descending else F.asc
-    totals = placed.groupBy("_b").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))  # at most ``buckets`` rows
-    before = Window.orderBy(by("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", *(F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_s_{v}") for v in values))
-    inside = Window.partitionBy("_b").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(totals), "_b").select(*df.columns, *((F.sum(v).over(inside) + F.col(f"_s_{v}")).alias(f"cum_{v}") for v in values))
+def prefix_sum(df: DataFrame, order: str, values: tuple[str, ...], descending: bool = True, buckets: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``cum_<v>``: running sums in the order of ``order`` (a number), the row itself included, over all rows or
+    those of each ``by``.
+
+    Rows are cut into buckets between approximate quantiles of the order column, so outliers do not crowd one; sums run
+    inside a bucket and over the buckets' totals."""
+    edges = df.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_e"))
+    placed = (df.join(edges, list(by)) if by else df.join(F.broadcast(edges))).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col(order))))
+    turn = F.desc if descending else F.asc
+    totals = placed.groupBy(*by, "_b").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))  # at most ``buckets`` rows for each ``by``
+    before = Window.partitionBy(*by).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_b", *(F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_s_{v}") for v in values))
+    inside = Window.partitionBy(*by, "_b").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(totals if by else F.broadcast(totals), [*by, "_b"])
+    return joined.select(*df.columns, *((F.sum(v).over(inside) + F.col(f"_s_{v}")).alias(f"cum_{v}") for v in values))
 
 
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
@@ -140,10 +142,18 @@ def fpr_guard(df: DataFrame, flag: Column, subset: Column, factor: float = 2.0)
 
 
 def percentiles(df: DataFrame, columns: tuple[str, ...], points: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
-    """``feature`` and its exact percentiles, interpolated linearly."""
-    cells = [F.struct(F.lit(c).alias("feature"), F.percentile(c, F.array(*map(F.lit, points))).alias("v")) for c in columns]
-    names = [f"p{round(100 * x):d}" for x in points]
-    return df.agg(F.array(*cells).alias("a")).select(F.inline("a")).select("feature", *(F.col("v")[i].alias(n) for i, n in enumerate(names)))
+    """``feature`` and its exact percentiles, interpolated linearly (nulls left out); ranks come from running counts of the distinct
+    values of each feature."""
+    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "feature", "v").where(F.col("v").isNotNull())
+    h = prefix_sum(long.groupBy("feature", "v").agg(F.count("*").alias("c")), "v", ("c",), descending=False, by=("feature",))
+    n = h.groupBy("feature").agg(F.sum("c").alias("n"))
+    at = lambda rank: F.min(F.when(F.col("cum_c") > rank, F.col("v")))  # the value at a rank counted from 0
+    cells = []
+    for x in points:
+        rank = F.lit(float(x)) * (F.col("n") - 1)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        cells.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{round(100 * x):d}"))
+    return h.join(n, "feature").groupBy("feature").agg(*cells)
 
 
 def calibration(df: DataFrame) -> DataFrame:
@@ -203,10 +213,11 @@ def label_ambiguity(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def latency_summary(df: DataFrame, column: str = "processing_ms") -> DataFrame:
     """``n, mean, median, p95`` (the row at the rounded rank), ``min, max``; ranks come from running counts of distinct values."""
     h = prefix_sum(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")), "v", ("c",), descending=False)
-    whole = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.min(column).alias("min"), F.max(column).alias("max"))
-    rank = F.greatest(F.rint(0.95 * F.col("n")), F.lit(1.0))
-    p95 = h.join(F.broadcast(whole.select("n"))).agg(F.min(F.when(F.col("cum_c") >= rank, F.col("v"))).alias("p95"))
-    return whole.join(F.broadcast(p95))
+    whole = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    at = lambda rank: F.min(F.when(F.col("cum_c") >= rank, F.col("v")))  # the value at a rank counted from 1
+    half = (F.col("n") + 1) / 2
+    ranks = h.join(F.broadcast(whole.select("n"))).agg(((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("median"), at(F.greatest(F.rint(0.95 * F.col("n")), F.lit(1.0))).alias("p95"))
+    return whole.join(F.broadcast(ranks)).select("n", "mean", "median", "min", "max", "p95")
 
 
 def majority_vote(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -243,10 +254,9 @@ def bootstrap_gain(df: DataFrame, cap: float = 0.05, reps: int = 200, a: str = "
     gains = None
     for side in ("a", "b"):
         at = drawn.groupBy("rep", F.col(side).alias("s")).agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-        w = Window.partitionBy("rep").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-        total = Window.partitionBy("rep")
-        ranked = at.withColumns({"cum": F.sum("neg").over(w), "all_neg": F.sum("neg").over(total), "all_pos": F.sum("pos").over(total)})
-        caught = ranked.groupBy("rep").agg((F.sum(F.when(F.col("cum") <= F.floor(cap * F.col("all_neg")), F.col("pos")).otherwise(0)) / F.max("all_pos")).alias(f"recall_{side}"))
+        total = at.groupBy("rep").agg(F.sum("neg").alias("all_neg"), F.sum("pos").alias("all_pos"))
+        ranked = prefix_sum(at, "s", ("neg",), buckets=16, by=("rep",)).join(total, "rep")
+        caught = ranked.groupBy("rep").agg((F.sum(F.when(F.col("cum_neg") <= F.floor(cap * F.col("all_neg")), F.col("pos")).otherwise(0)) / F.max("all_pos")).alias(f"recall_{side}"))
         gains = caught if gains is None else gains.join(caught, "rep")
     gain = F.col("recall_b") - F.col("recall_a")
     return gains.agg(F.avg(gain).alias("mean"), F.percentile(gain, F.lit(0.025)).alias("ci_lo"), F.percentile(gain, F.lit(0.975)).alias("ci_hi"))

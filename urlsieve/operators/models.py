@@ -9,10 +9,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as FT
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.operators import metrics
+from urlsieve.operators import datasets, metrics
 
 SEED = 42
 
@@ -80,12 +80,6 @@ def scored(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFram
     return out.select(*keep, p.alias("p"))
 
 
-def require_schema(model_columns: Sequence[str], columns: Sequence[str]) -> None:
-    """Raise unless names, order and count agree."""
-    if list(model_columns) != list(columns):
-        raise ValueError(f"the model expects {list(model_columns)}")
-
-
 def compare(train: DataFrame, test: DataFrame, columns: Sequence[str], models: dict[str, object], weightings: Iterable[bool] = (False, True)) -> DataFrame:
     """Metrics of each model and weighting on ``test``: one long score table, one aggregate."""
     parts = []
@@ -126,38 +120,35 @@ def single_feature_auc(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature, auc``: the greater of both directions, 0.5 for a constant; one histogram over all features."""
     long = df.unpivot(["y"], [F.col(c).cast("double").alias(c) for c in columns], "feature", "v")
     h = long.groupBy("feature", "v").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    w = Window.partitionBy("feature").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    area = F.sum(F.col("neg") * (F.col("cum") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
-    out = h.withColumn("cum", F.sum("pos").over(w)).groupBy("feature").agg(area.alias("a"), F.count("*").alias("values"))
+    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
+    out = metrics.prefix_sum(h, "v", ("pos",), by=("feature",)).groupBy("feature").agg(area.alias("a"), F.count("*").alias("values"))
     return out.select("feature", F.when(F.col("values") > 1, F.greatest("a", 1 - F.col("a"))).otherwise(0.5).alias("auc"))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], repeats: int = 3) -> DataFrame:
     """``feature, mean, std`` of the drop in AUC when a column is shuffled.
 
-    A shuffle joins the table to itself by two seeded rankings; the ranks come from :func:`datasets.split_groups`'s way of counting by hash prefix."""
-    from urlsieve.operators.datasets import rank_key
-
-    def ranked(frame: DataFrame, seed: int) -> DataFrame:
-        h = frame.withColumn("_h", rank_key(F.col("id"), seed)).withColumn("_p", F.substring("_h", 1, 3))
-        c = h.groupBy("_p").agg(F.count("*").alias("_c"))
-        c = c.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-        return h.join(F.broadcast(c), "_p").withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_h", "id")) + F.col("_s")).drop("_h", "_p", "_s")
-
+    A shuffle joins the table to itself by two seeded rankings (:func:`datasets.shuffle_rank`)."""
     whole = [scored(model, df, ("y",)).select(F.lit("").alias("feature"), F.lit(0).alias("r"), "y", "p")]
     for r in range(repeats):
-        left, right = ranked(df, 2 * r), ranked(df, 2 * r + 1)
+        left, right = (datasets.shuffle_rank(df, "id", 2 * r + k).withColumnRenamed("position", "_n") for k in (0, 1))
         for c in columns:
             mixed = left.drop(c).join(right.select("_n", c), "_n")
             whole.append(scored(model, mixed, ("y",)).select(F.lit(c).alias("feature"), F.lit(r).alias("r"), "y", "p"))
     long = reduce(DataFrame.union, whole)
     h = long.groupBy("feature", "r", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    w = Window.partitionBy("feature", "r").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    auc = h.withColumn("cum", F.sum("pos").over(w)).groupBy("feature", "r").agg((F.sum(F.col("neg") * (F.col("cum") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
+    auc = metrics.prefix_sum(h, "p", ("pos",), buckets=64, by=("feature", "r")).groupBy("feature", "r").agg(area.alias("auc"))
     base = auc.where("feature = ''").select(F.col("auc").alias("base"))
     return auc.where("feature <> ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("auc")).alias("mean"), F.stddev_pop(F.col("base") - F.col("auc")).alias("std"))
 
 
+def coefficients(model: PipelineModel, columns: Sequence[str], df: DataFrame) -> DataFrame:
+    """``feature, coefficient`` of a linear model on standardised features."""
+    values = [float(x) for x in model.stages[-1].coefficients.toArray()]
+    return df.sparkSession.createDataFrame(list(zip(columns, values)), "feature string, coefficient double")
+
+
 def text_classifier(buckets: int = 1 << 14) -> Pipeline:
     """Character three-grams of ``url``, hashed and weighted, into a logistic regression."""
     return Pipeline(stages=[

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from urlsieve.functions import features as feat
 from urlsieve.functions import url as u
 
-#: A broadcast is asked for only where a lookup table has at most so many rows; beyond, the join is left to the optimizer.
-BROADCAST_ROWS = 200_000
+#: A fitted lookup table of at most so many rows is sent along with the plan; beyond, the join is left to the optimizer.
+LOCAL_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def fitted(df: DataFrame) -> DataFrame:
+    """A lookup table (a prior, suffix rules) as literal rows, if it is proven small: it is computed once, and the optimizer
+    knows its size and broadcasts it. A larger one stays as it is."""
+    rows = df.limit(LOCAL_ROWS + 1).toArrow()  # bounded
+    return df.sparkSession.createDataFrame(rows) if rows.num_rows <= LOCAL_ROWS else df
 
 
 def normalize(df: DataFrame, column: str = "url", max_length: int = u.MAX_LENGTH, idna: bool = True) -> DataFrame:
@@ -26,7 +28,7 @@ def normalize(df: DataFrame, column: str = "url", max_length: int = u.MAX_LENGTH
     Everything is native; only rows whose host goes beyond ASCII take the way through Python's IDNA codec, and with
     ``idna=False`` these are invalid hosts."""
     raw = F.col(column)
-    plain = u.hostname(u.completed(raw)).rlike(r"^[\x00-\x7f]*$")
+    plain = F.coalesce(raw.rlike(r"^[\x00-\x7f]*$"), F.lit(True))
 
     def judged(rows: DataFrame, host=None) -> DataFrame:
         found = rows.withColumn("_n", u.normal(raw, max_length, host))
@@ -36,7 +38,7 @@ def normalize(df: DataFrame, column: str = "url", max_length: int = u.MAX_LENGTH
         return judged(df)
     rest = df.where(~plain).withColumn("_host", u.hostname(u.completed(raw)))
     rest = rest.mapInPandas(_to_idna, rest.schema)
-    return judged(df.where(F.coalesce(plain, F.lit(True)))).union(judged(rest, F.coalesce("_host", F.lit(""))))
+    return judged(df.where(plain)).union(judged(rest, F.coalesce("_host", F.lit(""))))
 
 
 def _to_idna(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +57,7 @@ def suffix_matches(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     and with ICANN's alone. ``rules``: ``rule, kind`` (normal, wildcard, exception), ``section`` (icann, private)."""
     labels = hosts.select("host", F.split("host", r"\.").alias("l")).withColumn("n", F.size("l"))
     each = labels.select("host", "n", F.explode(F.sequence(F.lit(1), "n")).alias("k"), "l").withColumn("rule", F.array_join(F.slice("l", F.col("n") - F.col("k") + 1, F.col("k")), "."))
-    met = each.select("host", "n", "k", "rule").join(small(rules), "rule")
+    met = each.select("host", "n", "k", "rule").join(fitted(rules), "rule")
     size = F.when(F.col("kind") == "normal", F.col("k")).when(F.col("kind") == "exception", F.col("k") - 1).when(F.col("k") < F.col("n"), F.col("k") + 1)
     # an exception beats all others; else the longest
     rank = F.when(size.isNotNull(), F.when(F.col("kind") == "exception", F.lit(1000)).otherwise(0) + size)
@@ -106,7 +108,7 @@ def with_features(df: DataFrame, prior: DataFrame, column: str = "model_input")
     """``df`` with the features. ``prior``: ``tld, p`` with lower-case TLDs."""
     source = F.col(column)
     keyed = df.withColumn("_tld", F.lower(feat.tld(source)))
-    joined = keyed.join(small(prior.select(F.col("tld").alias("_t"), F.col("p").alias("_p"))), F.col("_tld") == F.col("_t"), "left")
+    joined = keyed.join(fitted(prior.select(F.col("tld").alias("_t"), F.col("p").alias("_p"))), F.col("_tld") == F.col("_t"), "left")
     # the parts are a column of their own, which keeps the optimizer from repeating them in each feature
     parted = joined.withColumn("_f", feat.parts(source))
     return parted.select(*df.columns, *(c.alias(n) for n, c in feat.vector(source, F.col("_f"), F.col("_p")).items()))
@@ -148,31 +150,32 @@ INTERNAL_NAME = r"\.(localhost|local|internal|lan|home\.arpa)$"
 def address(host):
     """The IPv4 address that a host denotes as a number: dotted quads and browsers' shorthands (one to four parts, decimal,
     octal or hexadecimal, the last filling the rest), and IPv4 mapped into IPv6; else null."""
-    mapped = F.regexp_extract(host, r"^::[Ff]{4}:([0-9.]+)$", 1)
-    text = F.when(mapped != "", mapped).otherwise(host)
-    parts = F.split(text, r"\.")
     number = lambda x: F.when(x.rlike(r"^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(x, 3, 8), 16, 10)).when(x.rlike(r"^0[0-7]{1,11}$"), F.conv(x, 8, 10)).when(x.rlike(r"^(0|[1-9][0-9]{0,9})$"), x).try_cast("bigint")
-    values = F.transform(parts, number)
-    n = F.size(parts)
-    last = F.element_at(values, -1)
-    lead = F.aggregate(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x)
-    room = F.element_at(F.array(*(F.lit(1 << 8 * k) for k in (4, 3, 2, 1))), n)
-    fits = F.forall(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), lambda x: x <= 255) & F.forall(values, lambda x: x.isNotNull()) & (last < room)
-    return F.when((n <= 4) & text.rlike(r"^[0-9a-fA-FxX.]+$"), F.when(fits, lead * room + last))
+    text = F.regexp_replace(host, r"^::[Ff]{4}:(?=[0-9.]+$)", "")
+
+    def joined(values):
+        n, last = F.size(values), F.element_at(values, -1)
+        lead = F.aggregate(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda acc, x: F.when(x <= 255, acc * 256 + x))
+        room = F.element_at(F.array(*(F.lit(1 << 8 * k) for k in (4, 3, 2, 1))), n)
+        return F.when((n <= 4) & (last < room), lead * room + last)
+
+    # other hosts are told apart before they are cut into parts
+    return F.when(text.rlike(r"^[0-9a-fA-FxX]+(\.[0-9a-fA-FxX]+){0,3}$"), u.let(F.transform(F.split(text, r"\."), number), joined))
 
 
 def is_internal(host):
     """Local, private, reserved or multicast addresses, single labels and internal names."""
-    h = F.regexp_replace(F.lower(host), r"\.+$", "")
-    bare = F.regexp_replace(h, r"^\[|\]$", "")
-    number = address(bare)
     value = lambda a: sum(int(x) << 8 * (3 - i) for i, x in enumerate(a.split(".")))
-    inside = F.lit(False)
-    for low, high in RESERVED:
-        inside = inside | number.between(value(low), value(high))
-    six = bare.rlike(r"^(::1?$|[fF][c-fC-F]|0*:0*:0*:0*:0*:0*:0*:0*1?$|64:[fF][fF]9[bB]:1:|100::|2001:0?:|2001:[dD][bB]8:|2002:|5[fF]00:|3[fF][fF][fF]:0)")
-    name = (h == "localhost") | ~h.contains(".") | h.rlike(INTERNAL_NAME)
-    return F.coalesce(F.when(number.isNotNull(), inside).when(bare.contains(":"), six).otherwise(name), F.lit(True))
+    ranges = F.array(*(F.struct(F.lit(value(low)).cast("bigint").alias("low"), F.lit(value(high)).cast("bigint").alias("high")) for low, high in RESERVED))
+
+    def judged(bare):
+        six = bare.rlike(r"^(::1?$|[fF][c-fC-F]|0*:0*:0*:0*:0*:0*:0*:0*1?$|64:[fF][fF]9[bB]:1:|100::|2001:0?:|2001:[dD][bB]8:|2002:|5[fF]00:|3[fF][fF][fF]:0)")
+        name = (bare == "localhost") | ~bare.contains(".") | bare.rlike(INTERNAL_NAME)
+        inside = lambda number: F.when(number.isNotNull(), F.exists(ranges, lambda r: number.between(r["low"], r["high"]))).when(bare.contains(":"), six).otherwise(name)
+        return u.let(address(bare), inside)
+
+    # a name in brackets has a colon, so brackets make no difference to names
+    return F.coalesce(u.let(F.regexp_replace(F.lower(host), r"\.+$|^\[|\]\.*$", ""), judged), F.lit(True))
 
 
 def policy(df: DataFrame, column: str = "url", max_length: int = u.MAX_LENGTH, allow_internal: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.ml import classification as C
@@ -19,21 +18,13 @@ from urlsieve.plans.data_queries import FEAT, rounded, split
 from urlsieve.plans.registry import query
 from urlsieve.plans.url_queries import labelled_features
 from urlsieve.sources import views as V
+from urlsieve.sources.tables import shared_folder
 from urlsieve.streaming import jobs as J
 
 HI, SC = S.with_("history"), S.with_("scored")
 _DAY = "scanned_at::date"
 
 
-def shared_folder(spark) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 @query(HI + "select id, url, host, prediction, risk_level, source, phishing_probability from history where true".replace("url, host", "split_part(url, '?', 1) || '?id=[redacted]' url, host"))
 def history_record(spark, d):
     rows = V.history(spark, d).withColumn("normalized_url", F.col("url"))
@@ -72,18 +63,18 @@ def history_search(spark, d):
     return H.page_totals(V.history(spark, d), 20, "Phishing", "U1")
 
 
-@query(HI + "select id, prediction from history where client not in (select client from history where prediction = 'Phishing')")
+@query(HI + "select id, prediction from history where prediction <> 'Phishing'")
 def history_delete(spark, d):
+    """What is left when the scans found to be phishing are deleted by their ids."""
     rows = V.history(spark, d)
-    bad = rows.where("prediction = 'Phishing'").select("client").distinct()
-    return H.delete(rows, rows.join(bad, "client").select("id")).select("id", "prediction")
+    return H.delete(rows, rows.where("prediction = 'Phishing'").select("id")).select("id", "prediction")
 
 
-@query("select event_id id, user_id client, (json_extract_string(props, '$.k'))::bigint as k from events".replace("(json_extract_string(props, '$.k'))::bigint as k", "json_valid(props) ok"))
+@query("select event_id id, user_id client, json_valid(props) ok, (json_extract_string(props, '$.k'))::bigint as k from events")
 def history_get(spark, d):
-    """Details of every scan with its JSON parsed (null if it is not JSON)."""
-    rows = V.history(spark, d)
-    return rows.select("id", "client", F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("ok"))
+    """Details of every scan with its JSON parsed: whether it is JSON, and the field it holds."""
+    rows = V.history(spark, d).withColumn("v", F.try_parse_json("props"))
+    return rows.select("id", "client", F.col("v").isNotNull().alias("ok"), F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
 @query(
@@ -198,15 +189,34 @@ def window_hits(spark, d):
     return J.window_hits(V.history(spark, d).withColumnRenamed("scanned_at", "ts"))
 
 
-@query()
+_HOUR = 3_600_000_000
+
+
+@query(
+    HI.replace("with ", "with recursive ", 1) + f""", r as (select client, id, scanned_at ts, row_number() over (partition by client order by scanned_at, id) n from history),
+s as (
+  select client, n, id, ts, [ts] recent, true allowed, 0 retry_after from r where n = 1
+  union all
+  select client, n, id, ts, case when ok then list_append(live, ts) else live end, ok, case when ok then 0 else greatest(1, trunc(3600 - (epoch_us(ts) - epoch_us(live[1])) / 1000000)::int + 1) end
+  from (select *, len(live) < 3 ok from (select r.client, r.n, r.id, r.ts, list_filter(s.recent, lambda x: epoch_us(r.ts) - epoch_us(x) < {_HOUR}) live from s join r on r.client = s.client and r.n = s.n + 1)))
+select client, id, ts, allowed, retry_after::int retry_after from s"""
+)
 def rate_limit(spark, d):
-    return J.rate_limit(V.history(spark, d).withColumnRenamed("scanned_at", "ts"), 3, 3600.0)
+    return J.rate_limit(V.history(spark, d).withColumnRenamed("scanned_at", "ts"), 3, 3600.0).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    HI.replace("with ", "with recursive ", 1) + f""", r as (select 'https://' || host origin, id, scanned_at ts, prediction <> 'Phishing' ok, row_number() over (partition by host order by scanned_at, id) n from history),
+s as (
+  select origin, n, id, ts, true fresh, ts scored_at, case when ok then ts end held from r where n = 1
+  union all
+  select origin, n, id, ts, fresh, case when fresh then ts else held end, case when not fresh then held when ok then ts end
+  from (select r.*, s.held, s.held is null or epoch_us(r.ts) - epoch_us(s.held) >= {_HOUR} fresh from s join r on r.origin = s.origin and r.n = s.n + 1))
+select origin, id, ts, fresh, scored_at from s"""
+)
 def result_reuse(spark, d):
     rows = V.history(spark, d).select(F.concat(F.lit("https://"), F.col("host")).alias("origin"), "id", F.col("scanned_at").alias("ts"), (F.col("prediction") != "Phishing").alias("ok"))
-    return J.result_reuse(rows, 3600.0)
+    return J.result_reuse(rows, 3600.0).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "scored_at")})
 
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -265,8 +275,10 @@ def predict_urls(spark, d):
 
 @query()
 def text_classify(spark, d):
-    rows = V.labelled(spark, d).withColumn("y", (F.col("label") == 0).cast("int"))
-    return models.scored(models.text_classifier().fit(rows), rows, ("id", "y"))
+    """Both probabilities and the label of urls that the text model has not seen."""
+    rows = V.labelled(spark, d).withColumn("y", (F.col("label") == 0).cast("int")).join(split(spark, d).select("id", "split"), "id")
+    scores = models.scored(models.text_classifier().fit(rows.where("split = 'train'")), rows.where("split <> 'train'"), ("id", "y"))
+    return scores.select("id", "y", "p", (1 - F.col("p")).alias("p_legitimate"), F.when(F.col("p") >= 0.5, "phishing").otherwise("legitimate").alias("prediction_text"))
 
 
 @query()

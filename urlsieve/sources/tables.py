@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +16,18 @@ from pyspark.sql.types import StructType
 LABELLED = "url string, label int, tld string, p double"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it. Where it is unset, a temporary one, but only
+    in a session of one process (tests): on a cluster each machine would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def load_csv(spark: SparkSession, path: str, schema: str | StructType = LABELLED) -> DataFrame:
     """A CSV file with a header; the schema is given, never inferred, and malformed rows fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True)
@@ -51,6 +67,17 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def model_columns(model: PipelineModel) -> list[str]:
+    """The columns that a fitted pipeline assembles, in their order."""
+    return [c.removesuffix("_filled") for stage in model.stages if isinstance(stage, VectorAssembler) for c in stage.getInputCols()]
+
+
+def require_columns(found: Sequence[str], expected: Sequence[str]) -> None:
+    """Raise unless names, order and count agree."""
+    if list(found) != list(expected):
+        raise ValueError(f"the model expects {list(found)}")
+
+
 def score_file(spark: SparkSession, source: str, model: PipelineModel, target: str, schema: str | StructType) -> None:
     """A CSV of features in, the same with ``prediction`` and ``prediction_text`` out."""
     rows = load_csv(spark, source, schema)

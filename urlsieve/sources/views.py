@@ -5,6 +5,7 @@ None of them leaves rows out but for inner joins: each uses its whole tables.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ PSL_RULES = (
 
 
 def psl(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PSL_RULES, "rule string, kind string, section string")
+    return spark.createDataFrame(pa.table(dict(zip(("rule", "kind", "section"), map(list, zip(*PSL_RULES))))))
 
 
 def load_psl(spark: SparkSession, path: str) -> DataFrame:

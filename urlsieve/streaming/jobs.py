@@ -32,16 +32,21 @@ def limit_hits(seconds: list[float], recent: list[float], most: int, window: flo
 
 
 def _limited(frame: pd.DataFrame, recent: list[float], most: int, window: float) -> pd.DataFrame:
-    frame = frame.sort_values(["ts", "id"])
     marks = limit_hits([t.timestamp() for t in frame["ts"]], recent, most, window)
     return frame[["client", "id", "ts"]].assign(allowed=[a for a, _ in marks], retry_after=pd.array([r for _, r in marks], "int32"))
 
 
 def rate_limit(requests: DataFrame, most: int = 30, window: float = 60.0) -> DataFrame:
     """Batch twin: ``client, id, ts`` rows in the order of time. A client's hits are cut into stretches at pauses of a whole window,
-    as no hit reaches across one, so a group is a stretch and not a client's whole past."""
+    as no hit reaches across one. Spark sorts the stretches; a task streams through its own and holds only the log of the
+    last allowed hits, so a client that never pauses takes long, but no memory."""
     rows = _stretches(requests.select("client", "id", "ts"), "client", window)
-    return rows.groupBy("client", "_g").applyInPandas(lambda pdf: _limited(pdf, [], most, window), LIMITED)
+
+    def step(frame: pd.DataFrame, recent: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
+        recent = [] if recent is None else recent
+        return _limited(frame, recent, most, window), recent
+
+    return _streamed(rows, "client", step, LIMITED)
 
 
 #: Windows that one stretch covers before it is cut at the next pause.
@@ -57,6 +62,23 @@ def _stretches(rows: DataFrame, key: str, window: float) -> DataFrame:
     return rows.withColumn("_s", begins).withColumn("_g", F.floor(began / (window * STRETCH))).drop("_s")
 
 
+def _streamed(rows: DataFrame, key: str, step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]], schema: str) -> DataFrame:
+    """``step`` over the rows of each stretch (:func:`_stretches`) in the order of time, in pieces; it hands its state on from piece
+    to piece, and gets None at a stretch's beginning."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            for name, piece in frame.groupby([key, "_g"], sort=False, dropna=False):
+                name = tuple(None if pd.isna(x) else x for x in name)
+                if name != now:
+                    now, state = name, None
+                out, state = step(piece, state)
+                yield out
+
+    return rows.repartition(key, "_g").sortWithinPartitions(key, "_g", "ts", "id").mapInPandas(run, schema)
+
+
 def rate_limit_stream(requests: DataFrame, most: int = 30, window: float = 60.0) -> DataFrame:
     """The same over a stream; state is the times of the last allowed hits, dropped when a client is idle for the window."""
 
@@ -65,7 +87,7 @@ def rate_limit_stream(requests: DataFrame, most: int = 30, window: float = 60.0)
             state.remove()
             return
         recent = list(state.get[0]) if state.exists else []
-        out = _limited(pd.concat(list(frames)), recent, most, window)
+        out = _limited(pd.concat(list(frames)).sort_values(["ts", "id"]), recent, most, window)
         state.update((recent,))
         state.setTimeoutDuration(int(window * 1000))
         yield out
@@ -74,7 +96,6 @@ def rate_limit_stream(requests: DataFrame, most: int = 30, window: float = 60.0)
 
 
 def _reused(frame: pd.DataFrame, scored_at, ttl: float) -> tuple[pd.DataFrame, object]:
-    frame = frame.sort_values(["ts", "id"])
     fresh, at = [], []
     for ts, ok in zip(frame["ts"], frame["ok"]):
         new = scored_at is None or (ts - scored_at).total_seconds() >= ttl
@@ -87,9 +108,9 @@ def _reused(frame: pd.DataFrame, scored_at, ttl: float) -> tuple[pd.DataFrame, o
 
 def result_reuse(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
     """Batch twin: which scans of ``origin, id, ts, ok`` are scored anew and which reuse a result of their origin. An origin's
-    scans are cut where it pauses for the whole time to live."""
+    scans are cut where it pauses for the whole time to live, and streamed through like those of :func:`rate_limit`."""
     rows = _stretches(scans.select("origin", "id", "ts", "ok"), "origin", ttl)
-    return rows.groupBy("origin", "_g").applyInPandas(lambda pdf: _reused(pdf, None, ttl)[0], REUSED)
+    return _streamed(rows, "origin", lambda frame, at: _reused(frame, at, ttl), REUSED)
 
 
 def result_reuse_stream(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
@@ -98,7 +119,7 @@ def result_reuse_stream(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
             state.remove()
             return
         before = pd.Timestamp(state.get[0]) if state.exists and state.get[0] is not None else None
-        out, scored_at = _reused(pd.concat(list(frames)), before, ttl)
+        out, scored_at = _reused(pd.concat(list(frames)).sort_values(["ts", "id"]), before, ttl)
         state.update((scored_at,))
         state.setTimeoutDuration(int(ttl * 1000))
         yield out
