@@ -38,7 +38,7 @@ MIN_BYTES = 400
 #: Ranges that a range is cut into in each round after the first; the last makes single starts.
 CUTS = (4, 4, 1 << 30)
 #: Bytes of text for each part that names are dealt to, and repeated names that a task remembers.
-PART_BYTES, KNOWN = 32 << 20, 1 << 20
+PART_BYTES, KNOWN = 8 << 20, 1 << 20
 PROP, MULTI = 1, 2
 
 
