@@ -56,7 +56,7 @@ def one_of_each(docs):
 
 
 def clean(docs, items):
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
     grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
     windows = [(min(10, len(w)), g) for w in map(words, items) if w for g in grams(w, min(10, len(w)))]
     return [(i, t) for i, t in docs if not any(g in grams(words(t), n) for n, g in windows)]
