@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, ngram_join, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, url_filter
+from . import collocations, decontaminate, html_text, line_dedup, ngram_join, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, url_filter
 
 #: Fixed values of the url rules: verdict, host, path.
 RULES = (
@@ -76,6 +76,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(_table(spark, sf_dir, "documents")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = collocations.counts(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return collocations.best(collocations.collocations(counted)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op12_phrases": op12_phrases,
 }
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -135,5 +141,27 @@ common as (select k from keyed where k <> '' group by k having count(distinct co
 select doc_id, count(*)::bigint n_lines, count(common.k)::bigint n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (common.k is null), '')) kept_sha256
 from keyed left join common using (k) group by rid, doc_id
+""",
+    "op12_phrases": r"""
+with pieces as (
+  select coalesce(lang, 'und') lang, row_number() over () pid, regexp_extract_all(p, '[^\x20\x09]+') w
+  from (select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents)),
+total as (select lang, sum(len(w))::hugeint n from pieces group by lang),
+f as (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') phrase, count(*)::hugeint a
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) i from pieces, (select unnest([1, 2, 3]) m) where len(w) >= m) group by all),
+cand as (select lang, m, phrase, a, string_split(phrase, ' ') v from f where m >= 2 and a >= 10),
+cuts as (
+  select c.lang, c.phrase, c.m, c.a, k, x.a l, y.a r, (1000000 * c.a * c.a) // (x.a * y.a) score
+  from (select *, unnest(range(1, m)) k from cand) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(v[1:k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(v[k + 1:], ' ')),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+covered as (
+  select distinct c.lang, c.phrase from cand c join cand d on d.lang = c.lang and d.m > c.m and 100 * d.a >= 50 * c.a
+    and contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+ranked as (
+  select b.*, total.n, row_number() over (partition by b.lang order by score desc, a desc, phrase) rank
+  from lowest b join total using (lang) anti join covered using (lang, phrase))
+select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score from ranked where rank <= 2000
 """,
 }
