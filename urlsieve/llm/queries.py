@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, html_text, line_dedup, ngram_join, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, url_filter
+from . import collocations, decontaminate, html_text, line_dedup, ngram_join, order_minhash, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, url_filter
 
 #: Fixed values of the url rules: verdict, host, path.
 RULES = (
@@ -81,6 +81,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.best(collocations.collocations(counted)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op12_phrases": op12_phrases,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 _WORDS2 = r"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
