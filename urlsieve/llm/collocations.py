@@ -40,10 +40,9 @@ PIECE, BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 UNKNOWN = "und"
 MAX_WORDS, SUPPORT, COVER, TOP, SHARDS = 3, 10, 50, 2000, 4
 #: Bits of a candidate filter at most, and for each candidate below that; bytes of text for a part; names a task remembers.
-FILTER_BITS, BITS_EACH, PART_BYTES, KNOWN = 1 << 29, 16, 8 << 20, 1 << 20
+FILTER_BITS, BITS_EACH, PART_BYTES, KNOWN = 1 << 29, 16, 8 << 20, 1 << 18
 #: Pairs of a language and a shard that get their own local support; the smallest beyond that get the support one.
 SHARES = 1 << 16
-CHUNK = 4 << 20
 
 _ENDS, _APART, _LOW = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _ENDS[list(PIECE)] = _APART[list(PIECE + BLANK)] = True
@@ -81,7 +80,7 @@ class Words(NamedTuple):
 def words(column: pa.Array) -> Iterator[tuple[int, Words]]:
     """Chunks of rows: the first row's number and the words."""
     data, offsets = tb.text_bytes(column)
-    for lo, hi in tb.chunks(offsets, CHUNK):
+    for lo, hi in tb.chunks(offsets):
         body, at = _LOW[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
         apart = _APART[body]
         start, end = tb.spans(~apart, at)
@@ -195,7 +194,7 @@ def _mine(source: DataFrame, size: int, filters: list[Broadcast], supports: Broa
                 key = tb.mix(name ^ place)
                 _, at, count = np.unique(key, return_index=True, return_counts=True)
                 key, name, place = key[at], name[at], place[at]
-                new = ~np.isin(key, known, assume_unique=True)
+                new = np.append(known, ~known[-1:])[np.searchsorted(known, key)] != key if len(known) else np.ones(len(key), bool)
                 most = (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 full = count >= most
                 if len(known) < KNOWN:
