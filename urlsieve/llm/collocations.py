@@ -194,7 +194,7 @@ def _mine(source: DataFrame, size: int, filters: list[Broadcast], supports: Broa
                 key = tb.mix(name ^ place)
                 _, at, count = np.unique(key, return_index=True, return_counts=True)
                 key, name, place = key[at], name[at], place[at]
-                new = np.append(known, ~known[-1:])[np.searchsorted(known, key)] != key if len(known) else np.ones(len(key), bool)
+                new = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key if len(known) else np.ones(len(key), bool)
                 most = (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 full = count >= most
                 if len(known) < KNOWN:
