@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, html_text, line_dedup, ngram_join, order_minhash, packing, passage_dedup, quality_rules, suffix_dedup, token_counts, url_filter
+from . import collocations, decontaminate, html_text, line_dedup, ngram_join, order_minhash, packing, passage_dedup, quality_rules, spelling, suffix_dedup, token_counts, url_filter
 
 #: Fixed values of the url rules: verdict, host, path.
 RULES = (
@@ -76,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(_table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = collocations.counts(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return collocations.best(collocations.collocations(counted)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling": op11_spelling,
     "op12_phrases": op12_phrases,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -146,6 +151,30 @@ common as (select k from keyed where k <> '' group by k having count(distinct co
 select doc_id, count(*)::bigint n_lines, count(common.k)::bigint n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (common.k is null), '')) kept_sha256
 from keyed left join common using (k) group by rid, doc_id
+""",
+    "op11_spelling": r"""
+with recursive runs as (
+  select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w, count(*) k
+  from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) r from documents) group by all),
+steps as (
+  select list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+summed as (
+  select w, k, xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || w, ''),
+    lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195, unicode(x)::bigint - 64] end))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) h
+  from runs, steps where length(w) >= 5),
+words as (
+  select w, sum(k)::bigint n from (
+    select case when h % 97 = 0 then substr(w, 1, (h % length(w))::bigint) || substr(w, (h % length(w))::bigint + 2) else w end w, k from summed)
+  where length(w) >= 5 group by w having sum(k) >= 3),
+cuts as (select w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) v from (select w, n, unnest(range(1, length(w) + 1)) i from words)),
+pairs as (
+  select distinct a.w x, b.w y, b.n from cuts a join cuts b on a.v = b.v and a.i = b.i and a.w <> b.w
+  union select distinct a.w, b.w, b.n from cuts a join words b on a.v = b.w
+  union select distinct b.w, a.w, a.n from cuts a join words b on a.v = b.w),
+forms as (select x w, count(*) n_near, arg_min({'w': y, 'n': n}, {'n': -n, 'w': y}) f from pairs group by x),
+found as (select words.w, words.n, coalesce(n_near, 0)::bigint n_near, case when f.n >= 2 * words.n then f end f from words left join forms using (w)),
+chain as (select w, w last, 0 d from found union all select c.w, f.f.w, d + 1 from chain c join found f on f.w = c.last where f.f is not null)
+select w word, f.w form, root, n, n_near, (f.n)::bigint form_n from found join (select w, arg_max(last, d) root from chain group by w) using (w)
 """,
     "op12_phrases": r"""
 with pieces as (
