@@ -24,7 +24,7 @@ def chain(*values):
     return signed(h)
 
 
-def brute(text, words=5, tuple_size=2, sketches=16):
+def brute(text, words=5, tuple_size=2, sketches=32):
     t = re.findall(order_minhash.TOKEN, text or "")
     k = [chain(*t[i : i + words]) for i in range(max(len(t) - words + 1, min(len(t), 1)))]
     seen, out = Counter(), []
@@ -59,7 +59,7 @@ def test_order_counts_and_empty_texts_are_alike(spark):
     block = [" ".join(str(r.random())[2:9] for _ in range(200)) for _ in range(5)]
     rows = [("moved", " ".join(block), " ".join(block[::-1])), ("same", block[0], block[0]), ("edit", " ".join(block), " ".join(block[:4]) + " new"), ("empty", "", None), ("half", "", "a b")]
     df = spark.createDataFrame(rows, "k string, a string, b string")
-    of = lambda c: order_minhash.sketch(F.col(c), sketches=200)
+    of = lambda c: order_minhash.sketch(F.col(c), sketches=256)
     got = {r["k"]: r["v"] for r in df.select("k", order_minhash.likeness(of("a"), of("b")).alias("v")).collect()}
     # a set of k-mers would find 0.96 in the first pair; four of five orders between two blocks are turned round
     assert got["same"] == got["empty"] == 1 and got["half"] == 0

@@ -7,7 +7,9 @@ selected k-mers and have them in the same order; so the share of equal sketches
 where parts of a text are only moved, which a set of k-mers doesn't notice.
 
 An order compares the elements' 64-bit hashes after an exclusive or with the order's own mask.  Hashes carry the element's place in
-their low bits, so arrays of plain longs are sorted, which Spark does on primitive arrays.
+their low bits, so arrays of plain longs are sorted, which Spark does on primitive arrays.  The masks differ in their highest bits,
+so an order's least elements are those of one stretch of the sorted elements, and only short texts need a look at all elements
+for each order.
 
 Tokens are runs of characters other than white space, of 16 characters at most; a longer one counts as several, and each Han, Kana or
 Hangul character is a token.  Texts with fewer tokens than a k-mer are one k-mer; texts with fewer k-mers than a tuple give a
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS, TUPLE, SKETCHES = 5, 2, 16
+WORDS, TUPLE, SKETCHES = 5, 2, 32
 #: Tokens of a text: these characters alone, others in runs of 16 at most.
 ALONE = r"぀-ヿ㐀-䶿一-鿿가-힯"
 TOKEN = rf"[{ALONE}]|[^\x20\x09-\x0D{ALONE}]{{1,16}}"
@@ -47,9 +49,11 @@ def let(value: Column, body) -> Column:
 
 
 def masks(sketches: int) -> list[int]:
-    """The orders' masks, signed 64-bit numbers without the places' bits."""
-    r = random.Random(7_301_993)
-    return [(r.getrandbits(64 - PLACE) << PLACE) - (1 << 63) for _ in range(sketches)]
+    """The orders' masks, signed 64-bit numbers without the places' bits.  Their highest bits count the orders, so that in
+    each order other elements come first: those whose own highest bits are the same, with the sign bit turned."""
+    r, top = random.Random(7_301_993), sketches.bit_length() - 1
+    found = [((i << (64 - top)) | (r.getrandbits(64 - top - PLACE) << PLACE)) & (1 << 64) - 1 for i in range(sketches)]
+    return [x - (x >> 63 << 64) for x in found]
 
 
 def kmers(text: Column, words: int = WORDS) -> Column:
@@ -78,19 +82,29 @@ def numbered(k: Column) -> Column:
 
 
 def sketch(text: Column, words: int = WORDS, tuple_size: int = TUPLE, sketches: int = SKETCHES) -> Column:
-    """The fingerprint as an array of ``sketches`` numbers of 32 bits."""
-    low = (1 << PLACE) - 1
-
-    def chosen(k: Column, base: Column) -> Column:
-        def one(mask: Column) -> Column:
-            least = F.slice(F.sort_array(F.transform(base, lambda x: x.bitwiseXOR(mask))), 1, tuple_size)
-            places = F.sort_array(F.transform(least, lambda x: x.bitwiseAND(low)))
-            return F.shiftrightunsigned(F.xxhash64(F.transform(places, lambda p: F.get(k, p.cast("int")))), 32)
+    """The fingerprint as an array of ``sketches`` numbers of 32 bits; ``sketches`` is a power of two."""
+    if sketches < 1 or sketches & (sketches - 1):
+        raise ValueError("sketches must be a power of two")
+    low, top = (1 << PLACE) - 1, sketches.bit_length() - 1
+    #: The least element that can come first in each order: marks in the sorted elements.
+    marks = F.array(*(F.lit((i << (64 - top)) - (1 << 63)) for i in range(sketches)))
+
+    def hashed(k: Column, elements: Column, mask: Column) -> Column:
+        least = F.slice(F.sort_array(F.transform(elements, lambda x: x.bitwiseXOR(mask))), 1, tuple_size)
+        places = F.sort_array(F.transform(least, lambda x: x.bitwiseAND(low)))
+        return F.shiftrightunsigned(F.xxhash64(F.transform(places, lambda p: F.get(k, p.cast("int")))), 32)
+
+    def chosen(k: Column, base: Column, ordered: Column, at: Column) -> Column:
+        # an order's first elements stand between its mark and the next one; where these are too few, all elements are looked at
+        def one(mask: Column, i: Column) -> Column:
+            begin = F.get(at, i)
+            return let(F.coalesce(F.get(at, i + 1), F.size(ordered) + 1) - begin - 1, lambda n: hashed(k, F.when(n >= tuple_size, F.slice(ordered, begin + 1, n)).otherwise(base), mask))
 
         return F.transform(F.array(*(F.lit(m) for m in masks(sketches))), one)
 
     base = lambda k: F.transform(numbered(k), lambda h, i: h.bitwiseAND(~low).bitwiseOR(i.cast("long")))
-    return let(kmers(text, words), lambda k: let(base(k), lambda b: chosen(k, b)))
+    found = lambda s: F.transform(marks, lambda m: F.array_position(s, m).cast("int"))
+    return let(kmers(text, words), lambda k: let(base(k), lambda b: let(F.sort_array(F.concat(b, marks)), lambda s: let(found(s), lambda at: chosen(k, b, s, at)))))
 
 
 def written(sketch_: Column) -> Column:
