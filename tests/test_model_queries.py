@@ -18,8 +18,9 @@ def test_registered_model_queries_run_the_whole_survey(spark, monkeypatch):
         q(spark, "")
     (grid, _), (research, _) = seen["compare"]
     assert tuple(grid[2]) == tuple(research[2]) == feat.NAMES and len(grid) == 4
-    assert grid[3]["random_forest"].getNumTrees() == 200 and grid[3]["gradient_boosting_large"].getMaxIter() == 300
+    assert grid[3]["random_forest"].getNumTrees() == 200 and (grid[3]["hist_gradient_boosting"].rounds, grid[3]["hist_gradient_boosting_large"].rounds, grid[3]["hist_gradient_boosting_large"].leaves) == (300, 600, 63)
     assert research[3]["random_forest"].getNumTrees() == 300 and research[3]["perceptron"].getMaxIter() == 200
+    assert (research[3]["regularised_boosting"].rounds, research[3]["regularised_boosting"].l2, research[3]["regularised_boosting"].rows) == (300, 1.0, 0.85)
     assert [len(c) for c in seen["ablation"][0][0][2].values()] == [17] + [16] * 10 + [12, 7]
     assert seen["fit"][0][0][2].getNumTrees() == 200
     assert tuple(seen["permutation_importance"][0][0][2]) == feat.NAMES and seen["permutation_importance"][0][0][3] == 10

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.operators import datasets, metrics
+from urlsieve.operators.boosting import BoostedTrees, Boosting
 
 SEED = 42
 
@@ -30,28 +31,30 @@ def assembled(columns: Sequence[str], scale: bool = False, impute: bool = False)
 
 
 def grid(small: bool = False) -> dict[str, object]:
-    """Model families of the improvement grid; ``small`` keeps the families and cuts trees for quick runs."""
-    trees, rounds = (20, 10) if small else (200, 200)
+    """Model families of the improvement grid; ``small`` keeps the families and cuts trees for quick runs.  Early stopping of the
+    histogram family is not built: all rounds run."""
+    trees, cut = (20, 20) if small else (200, 1)
     common = {"labelCol": "y", "weightCol": "w"}
     return {
         "logistic_regression": C.LogisticRegression(maxIter=100, **common),
         "decision_tree": C.DecisionTreeClassifier(maxDepth=12, minInstancesPerNode=5, seed=SEED, **common),
         "random_forest": C.RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, maxDepth=8 if small else 16, seed=SEED, **common),
-        "gradient_boosting": C.GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=SEED, **common),
-        "gradient_boosting_large": C.GBTClassifier(maxIter=rounds if small else 300, maxDepth=3 if small else 6, stepSize=0.05, minInstancesPerNode=40, seed=SEED, **common),
+        "gradient_boosting": Boosting(rounds=200 // cut, rate=0.1, leaves=8, depth=3, min_rows=1, newton=False),
+        "hist_gradient_boosting": Boosting(rounds=300 // cut, rate=0.1),
+        "hist_gradient_boosting_large": Boosting(rounds=600 // cut, rate=0.05, leaves=63, min_rows=40),
     }
 
 
 def research(width: int, small: bool = False) -> dict[str, object]:
     """The six research families; the perceptron has no weights."""
-    rounds = 10 if small else 300
+    trees, cut = (10, 20) if small else (300, 1)
     common = {"labelCol": "y", "weightCol": "w"}
     return {
         "logistic_regression": C.LogisticRegression(maxIter=100, **common),
         "linear_svm": C.LinearSVC(maxIter=50, **common),
-        "random_forest": C.RandomForestClassifier(numTrees=rounds, maxDepth=8, seed=SEED, **common),
-        "gradient_boosting": C.GBTClassifier(maxIter=rounds // 2, stepSize=0.08, seed=SEED, **common),
-        "boosting_subsampled": C.GBTClassifier(maxIter=rounds, maxDepth=3 if small else 6, stepSize=0.08, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=SEED, **common),
+        "random_forest": C.RandomForestClassifier(numTrees=trees, maxDepth=8, seed=SEED, **common),
+        "gradient_boosting": Boosting(rounds=150 // cut, rate=0.08, leaves=8, depth=3, min_rows=1, newton=False),
+        "regularised_boosting": Boosting(rounds=300 // cut, rate=0.08, leaves=64, depth=6, min_rows=1, min_hessian=1.0, l2=1.0, rows=0.85, columns=0.85),
         "perceptron": C.MultilayerPerceptronClassifier(layers=[width, 128, 64, 2], maxIter=30 if small else 200, seed=SEED, labelCol="y"),
     }
 
@@ -65,13 +68,18 @@ def weighted(df: DataFrame, balanced: bool) -> DataFrame:
     return df.join(F.broadcast(n.join(F.broadcast(total)).select("y", (F.col("_t") / (2 * F.col("_n"))).alias("w"))), "y")
 
 
-def fit(train: DataFrame, columns: Sequence[str], estimator, balanced: bool = True) -> PipelineModel:
+def fit(train: DataFrame, columns: Sequence[str], estimator, balanced: bool = True) -> PipelineModel | BoostedTrees:
+    if isinstance(estimator, Boosting):
+        return estimator.fit(weighted(train, balanced), columns)
+    estimator = estimator.copy()
     scale = isinstance(estimator, (C.LogisticRegression, C.LinearSVC, C.MultilayerPerceptronClassifier))
     return Pipeline(stages=[*assembled(columns, scale=scale), estimator]).fit(weighted(train, balanced))
 
 
-def scored(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def scored(model: PipelineModel | BoostedTrees, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` and ``p``: P(phishing), or for models without probabilities the margin through a logistic curve."""
+    if isinstance(model, BoostedTrees):
+        return model.scored(df, keep)
     out = model.transform(df)
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
@@ -85,15 +93,15 @@ def compare(train: DataFrame, test: DataFrame, columns: Sequence[str], models: d
     parts = []
     for name, estimator in models.items():
         for balanced in weightings:
-            if balanced and not estimator.hasParam("weightCol"):
+            if balanced and not isinstance(estimator, Boosting) and not estimator.hasParam("weightCol"):
                 continue
-            parts.append(scored(fit(train, columns, estimator.copy(), balanced), test, ("y",)).select(F.lit(name).alias("model"), F.lit("balanced" if balanced else "none").alias("weighting"), "y", "p"))
+            parts.append(scored(fit(train, columns, estimator, balanced), test, ("y",)).select(F.lit(name).alias("model"), F.lit("balanced" if balanced else "none").alias("weighting"), "y", "p"))
     return metrics.binary_metrics(reduce(DataFrame.union, parts), by=("model", "weighting"))
 
 
 def ablation(train: DataFrame, test: DataFrame, groups: dict[str, Sequence[str]], estimator) -> DataFrame:
     """Metrics of one model on several lists of columns."""
-    parts = [scored(fit(train, cols, estimator.copy()), test, ("y",)).select(F.lit(name).alias("features"), F.lit(len(cols)).alias("n_features"), "y", "p") for name, cols in groups.items()]
+    parts = [scored(fit(train, cols, estimator), test, ("y",)).select(F.lit(name).alias("features"), F.lit(len(cols)).alias("n_features"), "y", "p") for name, cols in groups.items()]
     return metrics.binary_metrics(reduce(DataFrame.union, parts), by=("features", "n_features"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -28,6 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._kept_at = path
+    return back
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table made by :func:`keep_table` that nothing will read again."""
+    path = getattr(df, "_kept_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def load_csv(spark: SparkSession, path: str, schema: str | StructType = LABELLED) -> DataFrame:
     """A CSV file with a header; the schema is given, never inferred, and malformed rows fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True)
