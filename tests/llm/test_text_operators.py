@@ -153,6 +153,33 @@ def test_added_tokens_equal_the_named_library_by_default(spark):
     assert lengths == Counter(map(len, want))
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\r\n "])
+def test_long_white_space_is_encoded_like_the_named_library(spark, run):
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(tk.default_path())
+    texts = [run * (2_000_000 // len(run)), "some words" + run * (1_500_000 // len(run)) + "and more <|endoftext|> end"]
+    want = [named.encode(t, add_special_tokens=False).ids for t in texts]
+    share = tk.share(spark)
+    assert [tk.encoder(share, added=True)(t) for t in texts] == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"]: x["doc_tokens"] for x in packing.pack(rows, with_ids=False).collect()} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+    assert {x["length"] for x in token_counts.histogram(rows).collect()} == {len(ids) for ids in want}
+
+
+def test_one_long_labelled_text_moves_no_other_verdict(spark):
+    r = random.Random(9)
+    good = lambda n=40: " ".join(r.choice(["the", "river", "runs", "past", "quiet", "houses", "and"]) for _ in range(n))
+    bad = lambda: " ".join(r.choice(["BUY", "NOW!!", "$$$", "win", "free", "click"]) for _ in range(40))
+    docs, labels = [(i, bad() if i % 4 == 0 else good()) for i in range(300)], [(i, int(i % 4 != 0)) for i in range(300)]
+    of = lambda more: {x["doc_id"]: x["p_low"] for x in quality_rules.quality_rules(spark.createDataFrame([*docs, *more], "doc_id long, text string"), spark.createDataFrame([*labels, *((i, 1) for i, _ in more)], "doc_id long, quality int")).collect()}
+    plain = of([])
+    assert max(plain.values()) - min(plain.values()) > 0.5
+    # ids before and after the others in the sample's order, whatever that is
+    long = of([(10_000 + i, good(100) * 15_000) for i in range(2)])
+    assert len(long) == 302 and all(abs(long[i] - p) <= 0.05 for i, p in plain.items())
+
+
 def test_packing_round_trip(spark):
     texts = [(1, "hello world " * 700), (2, None), (3, ""), (4, "one"), (4, "one"), (None, "two three")]
     rows = packing.pack(spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, start string")).collect()

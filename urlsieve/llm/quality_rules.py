@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import logit
 from . import textbytes as tb
 
-#: Hash buckets of the model, labelled rows and bytes of their texts that it is fitted on at most, and the probability of low quality that rejects.
-BUCKETS, SAMPLE, SAMPLE_BYTES, REJECT = 1 << 18, 3000, 8 << 20, 0.5
+#: Hash buckets of the model, labelled rows and characters of each text that it is fitted on at most, and the probability of low quality that rejects.
+BUCKETS, SAMPLE, SAMPLE_CHARS, REJECT = 1 << 18, 3000, 3000, 0.5
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -94,9 +94,9 @@ def features(data: np.ndarray, offsets: np.ndarray, words: tuple) -> list[tuple[
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, text: str = "text") -> logit.Logit:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, text: str = "text") -> logit.Logit:
     """A model of P(low quality) from labelled rows, the first in the order of a hash of their ids: at most ``sample`` of them,
-    whose texts have at most ``sample_bytes`` together (a text that would pass that is left out, and those after it)."""
+    each by its first ``sample_chars`` characters.  So a long text among them counts no more than others."""
     kinds = [df.schema["doc_id"].dataType for df in (documents, labels)]
     named = lambda df: F.col("doc_id").cast(kinds[0] if kinds[0] == kinds[1] else "string").alias("_id")
     chosen = (
@@ -105,13 +105,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_by
         .orderBy(F.xxhash64("_id"), "_id", "_q")
         .limit(sample)
     )
-    texts = documents.select(named(documents), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    # the same bounds again: a document id that is repeated must not lengthen the sample, nor long texts
-    joined = texts.join(F.broadcast(chosen), "_id").withColumn("_t", F.xxhash64("_text"))
-    order = (F.xxhash64("_id"), "_id", "_q", "_t")
-    sizes = [r[0] for r in joined.orderBy(*order).limit(sample).select(F.octet_length("_text")).collect()]
-    n = int((np.cumsum(sizes) <= sample_bytes).sum()) if sizes else 0
-    rows = joined.orderBy(*order).limit(n).toArrow()
+    texts = documents.select(named(documents), F.substring(F.col(text), 1, sample_chars).alias("_text")).where(F.col("_text").isNotNull())
+    # the same bound again: a document id that is repeated must not lengthen the sample
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_q", F.xxhash64("_text")).limit(sample).toArrow()
     if rows.num_rows == 0:
         return logit.Logit(np.zeros(BUCKETS, np.float32), -20.0)
     data, offsets = tb.text_bytes(rows["_text"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import partial
+from functools import lru_cache
 
 import numpy as np
 from pyspark import Broadcast
@@ -43,7 +43,9 @@ def _byte_of() -> dict[str, int]:
 
 def encoder(vocabulary: Broadcast, added: bool = False):
     """A function from a text to its list of ids; no token is put around it.  With ``added`` the file's added tokens are found in
-    texts, as the named library does by default; without it their strings are ordinary text. One per process and kind."""
+    texts, as the named library does by default; without it their strings are ordinary text. One per process and kind.
+
+    The fast encoder gives up on some texts, such as a million spaces in a row; these go to the named library itself."""
     key = zlib.crc32(vocabulary.value), added
     if key not in _ENCODERS:
         import public_tokenizers
@@ -52,12 +54,31 @@ def encoder(vocabulary: Broadcast, added: bool = False):
         spec = json.loads(vocabulary.value)
         byte_of, special = _byte_of(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        named = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+        of = lambda found: tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=found)
+        plain, marked = of({}), of(special) if added and special else None
+
+        def encode(text: str) -> list[int]:
+            try:
+                if marked and any(t in text for t in special):
+                    return marked.encode(text, allowed_special="all")
+                return plain.encode(text, disallowed_special=())
+            except ValueError:
+                return _library(vocabulary.value, added).encode(text, add_special_tokens=False).ids
+
         for other in [k for k in _ENCODERS if k[0] != key[0]]:
             del _ENCODERS[other]
-        _ENCODERS[key] = partial(named.encode, allowed_special="all") if added else named.encode_ordinary
+        _ENCODERS[key] = encode
     return _ENCODERS[key]
 
 
+@lru_cache(2)
+def _library(body: bytes, added: bool):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_str(body.decode())
+    made.encode_special_tokens = not added
+    return made
+
+
 def ids(encode, text: str | None) -> np.ndarray:
     return np.asarray(encode(text) if text else [], np.uint32)
