@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.functions import features as feat
+from urlsieve.functions import ipv6
 from urlsieve.functions import url as u
 
 #: A fitted lookup table of at most so many rows is sent along with the plan; beyond, the join is left to the optimizer.
@@ -149,10 +150,8 @@ INTERNAL_NAME = r"\.(localhost|local|internal|lan|home\.arpa)$"
 
 def address(host):
     """The IPv4 address that a host denotes as a number: dotted quads and browsers' shorthands (one to four parts, decimal,
-    octal or hexadecimal, the last filling the rest), and IPv4 mapped into IPv6; else null."""
+    octal or hexadecimal, the last filling the rest); else null."""
     number = lambda x: F.when(x.rlike(r"^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(x, 3, 8), 16, 10)).when(x.rlike(r"^0[0-7]{1,11}$"), F.conv(x, 8, 10)).when(x.rlike(r"^(0|[1-9][0-9]{0,9})$"), x).try_cast("bigint")
-    text = F.regexp_replace(host, r"^::[Ff]{4}:(?=[0-9.]+$)", "")
-
     def joined(values):
         n, last = F.size(values), F.element_at(values, -1)
         lead = F.aggregate(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda acc, x: F.when(x <= 255, acc * 256 + x))
@@ -160,7 +159,7 @@ def address(host):
         return F.when((n <= 4) & (last < room), lead * room + last)
 
     # other hosts are told apart before they are cut into parts
-    return F.when(text.rlike(r"^[0-9a-fA-FxX]+(\.[0-9a-fA-FxX]+){0,3}$"), u.let(F.transform(F.split(text, r"\."), number), joined))
+    return F.when(host.rlike(r"^[0-9a-fA-FxX]+(\.[0-9a-fA-FxX]+){0,3}$"), u.let(F.transform(F.split(host, r"\."), number), joined))
 
 
 def is_internal(host):
@@ -169,10 +168,10 @@ def is_internal(host):
     ranges = F.array(*(F.struct(F.lit(value(low)).cast("bigint").alias("low"), F.lit(value(high)).cast("bigint").alias("high")) for low, high in RESERVED))
 
     def judged(bare):
-        six = bare.rlike(r"^(::1?$|[fF][c-fC-F]|0*:0*:0*:0*:0*:0*:0*:0*1?$|64:[fF][fF]9[bB]:1:|100::|2001:0?:|2001:[dD][bB]8:|2002:|5[fF]00:|3[fF][fF][fF]:0)")
         name = (bare == "localhost") | ~bare.contains(".") | bare.rlike(INTERNAL_NAME)
-        inside = lambda number: F.when(number.isNotNull(), F.exists(ranges, lambda r: number.between(r["low"], r["high"]))).when(bare.contains(":"), six).otherwise(name)
-        return u.let(address(bare), inside)
+        four = lambda number: F.exists(ranges, lambda r: number.between(r["low"], r["high"]))
+        inside = lambda six: F.when(six.isNotNull(), F.coalesce(four(ipv6.mapped(six)), ipv6.is_special(six))).otherwise(name)
+        return u.let(address(bare), lambda number: F.when(number.isNotNull(), four(number)).otherwise(u.let(ipv6.number(bare), inside)))
 
     # a name in brackets has a colon, so brackets make no difference to names
     return F.coalesce(u.let(F.regexp_replace(F.lower(host), r"\.+$|^\[|\]\.*$", ""), judged), F.lit(True))
