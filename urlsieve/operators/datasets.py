@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from urlsieve.functions.url import let
+
 SPLITS = (("train", 0.8), ("validation", 0.9), ("test", 1.0))
 
 
@@ -60,6 +63,27 @@ def shuffle_rank(df: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
     return hashed.join(F.broadcast(before), "_p").withColumn("position", place).select(*df.columns, "position")
 
 
+#: Multipliers and modulus of the bits that decide swaps.
+_MIX, _MODULUS = (48271, 69621), 2147483647
+
+
+def permutation_keys(seed: int, rounds: int = 24) -> list[int]:
+    """Round keys of :func:`permuted`."""
+    r = random.Random(seed)
+    return [r.getrandbits(62) for _ in range(rounds)]
+
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """The place of ``x`` under a seeded bijection of 0 to n - 1, by swap-or-not rounds (Hoang, Morris and Rogaway, 2012): each round
+    pairs x with its key less x and swaps the pair or not by a bit that both see.  ``keys``: an array of longs."""
+
+    def swap(x: Column, k: Column) -> Column:
+        bit = lambda m: F.floor(((m % _MODULUS * _MIX[0] + k % _MODULUS) % _MODULUS * _MIX[1] % _MODULUS) / 65536) % 2 == 1
+        return let((k % n + n - x) % n, lambda other: F.when(bit(F.greatest(x, other)), other).otherwise(x))
+
+    return F.aggregate(keys, x.cast("bigint"), swap)
+
+
 def split_groups(groups: DataFrame, seed: int = 42, key: str = "group", stratum: str = "y") -> DataFrame:
     """``groups`` with ``split``: within each stratum the first 80 %, next 10 % and last 10 % of the groups in the order of a seeded
     hash, cut at the floor of the shares.

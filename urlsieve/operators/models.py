@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from urlsieve.operators import datasets, metrics
 from urlsieve.operators.boosting import BoostedTrees, Boosting
+from urlsieve.sources.tables import keep_table
 
 SEED = 42
 
@@ -133,20 +134,26 @@ def single_feature_auc(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select("feature", F.when(F.col("values") > 1, F.greatest("a", 1 - F.col("a"))).otherwise(0.5).alias("auc"))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], repeats: int = 3) -> DataFrame:
-    """``feature, mean, std`` of the drop in AUC when a column is shuffled.
-
-    A shuffle joins the table to itself by two seeded rankings (:func:`datasets.shuffle_rank`)."""
-    whole = [scored(model, df, ("y",)).select(F.lit("").alias("feature"), F.lit(0).alias("r"), "y", "p")]
-    for r in range(repeats):
-        left, right = (datasets.shuffle_rank(df, "id", 2 * r + k).withColumnRenamed("position", "_n") for k in (0, 1))
-        for c in columns:
-            mixed = left.drop(c).join(right.select("_n", c), "_n")
-            whole.append(scored(model, mixed, ("y",)).select(F.lit(c).alias("feature"), F.lit(r).alias("r"), "y", "p"))
-    long = reduce(DataFrame.union, whole)
-    h = long.groupBy("feature", "r", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+def permutation_importance(model, df: DataFrame, columns: Sequence[str], repeats: int = 3, seed: int = SEED) -> DataFrame:
+    """``feature, mean, std`` of the drop in AUC when a column is shuffled; ``df`` has ``id, y`` and the columns.  ``model``: a fitted
+    one, or a function from rows and the names to keep to these and ``p``.
+
+    Rows are numbered once.  A repetition is a bijection of the numbers (:func:`datasets.permuted`), and each row meets the row at
+    its place in one join that serves all columns and repetitions; all that is then scored in one pass."""
+    score = model if callable(model) else lambda rows, keep: scored(model, rows, keep)
+    numbered = keep_table(datasets.shuffle_rank(df.select("id", "y", *columns), "id", seed).withColumn("_at", F.col("position") - 1).drop("position"), "permutation")
+    total = F.broadcast(numbered.agg(F.count("*").alias("_n")))
+    keys = F.array(*(F.array(*(F.lit(k) for k in datasets.permutation_keys(seed * 1000 + r))) for r in range(repeats)))
+    left = numbered.join(total).select("*", F.posexplode(keys).alias("r", "_keys"))
+    left = left.withColumn("_other", datasets.permuted(F.col("_at"), F.col("_n"), F.col("_keys"))).drop("_keys", "_n", "_at")
+    other = numbered.select(F.col("_at").alias("_other"), F.struct(*columns).alias("_o"))
+    met = left.join(other, "_other").withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
+    mixed = met.select("feature", "r", "y", *(F.when(F.col("feature") == c, F.col(f"_o.{c}")).otherwise(F.col(c)).alias(c) for c in columns))
+    plain = numbered.select(F.lit("").alias("feature"), F.lit(0).alias("r"), "y", *columns)
+    h = score(mixed.unionByName(plain), ("feature", "r", "y")).groupBy("feature", "r", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
-    auc = metrics.prefix_sum(h, "p", ("pos",), buckets=64, by=("feature", "r")).groupBy("feature", "r").agg(area.alias("auc"))
+    auc = metrics.prefix_sum(keep_table(h, "permutation-scores"), "p", ("pos",), buckets=64, by=("feature", "r")).groupBy("feature", "r").agg(area.alias("auc"))
+    auc = keep_table(auc, "permutation-auc")  # a row for each column and repetition
     base = auc.where("feature = ''").select(F.col("auc").alias("base"))
     return auc.where("feature <> ''").join(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("auc")).alias("mean"), F.stddev_pop(F.col("base") - F.col("auc")).alias("std"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from urlsieve.operators import metrics as M
 from urlsieve.operators import models, urls
 from urlsieve.plans import sql as S
 from urlsieve.plans.data_queries import _RATES, FEAT, RATES, SC, _metrics_sql, rounded, split
+from urlsieve.plans.history_queries import FIXED, fixed_sql
 from urlsieve.plans.registry import query
 from urlsieve.plans.url_queries import featured, labelled_features, prior
 from urlsieve.sources import tables
@@ -42,16 +45,39 @@ def csv_load(spark, d):
     return tables.load_csv(spark, path, "page_id long, url string")
 
 
-@query()
-def batch_score(spark, d):
-    """The features of all labelled urls as a CSV file, scored into another one."""
+def _scored_file(spark, d, fitted):
+    """The features of all labelled urls as a CSV file, scored into another one by the model that ``fitted`` makes of them."""
     rows = labelled_features(spark, d)
     source, target = fresh(spark, "features"), fresh(spark, "scores")
     tables.write_csv(rows, source)
-    model = models.fit(rows, feat.NAMES, regression())
-    tables.require_columns(tables.model_columns(model), feat.NAMES)
-    tables.score_file(spark, source, model, target, rows.schema)
-    return tables.load_csv(spark, target, rows.select("id", "label", "y", *feat.NAMES).schema.add("prediction", "int").add("prediction_text", "string")).select("id", "y", "prediction", "prediction_text")
+    tables.score_file(spark, source, fitted(rows), target, rows.schema)
+    out = rows.schema.add("prediction", "integer").add("prediction_text", "string")
+    return tables.load_csv(spark, target, out).select("id", "y", "prediction", "prediction_text")
+
+
+@query()
+def batch_score(spark, d):
+    """A fitted model over files, after a check of the columns that it expects."""
+
+    def fitted(rows):
+        model = models.fit(rows, feat.NAMES, regression())
+        tables.require_columns(tables.model_columns(model), feat.NAMES)
+        return model
+
+    return _scored_file(spark, d, fitted)
+
+
+@query(FEAT.rstrip() + f" select id, y, ({fixed_sql()} > 120)::int prediction, case when {fixed_sql()} > 120 then 'phishing' else 'legitimate' end prediction_text from feats")
+def batch_score_fixed(spark, d):
+    """The same with a fixed linear model, saved and loaded before it scores."""
+
+    def fitted(rows):
+        score = " + ".join(f"{k} * {c}" for c, k in FIXED.items())
+        path = fresh(spark, "model")
+        tables.save_model(Pipeline(stages=[SQLTransformer(statement=f"select *, cast({score} > 120 as int) as prediction from __THIS__")]).fit(rows), path)
+        return tables.load_model(path)
+
+    return _scored_file(spark, d, fitted)
 
 
 @query(SC.rstrip() + ", src as (select * from scored), " + _metrics_sql("p >= 0.5") + f" select tp, fp, fn, tn, {_RATES} from m")

@@ -12,13 +12,13 @@ from urlsieve.functions import url as u
 from urlsieve.operators import explain as X
 from urlsieve.operators import history as H
 from urlsieve.operators import metrics as M
-from urlsieve.operators import models, urls
+from urlsieve.operators import datasets, models, urls
 from urlsieve.plans import sql as S
 from urlsieve.plans.data_queries import FEAT, rounded, split
 from urlsieve.plans.registry import query
 from urlsieve.plans.url_queries import labelled_features
 from urlsieve.sources import views as V
-from urlsieve.sources.tables import shared_folder
+from urlsieve.sources.tables import keep_table, shared_folder
 from urlsieve.streaming import jobs as J
 
 HI, SC = S.with_("history"), S.with_("scored")
@@ -245,7 +245,7 @@ def stream_score(spark, d):
 
 def parts(spark, d):
     """Train and test rows with features, grouped by host."""
-    rows = labelled_features(spark, d).join(split(spark, d).select("id", "split"), "id").persist()
+    rows = keep_table(labelled_features(spark, d).join(split(spark, d).select("id", "split"), "id"), "parts")
     return rows.where("split = 'train'"), rows.where("split <> 'train'")
 
 
@@ -311,6 +311,40 @@ def permutation_importance(spark, d):
     return models.permutation_importance(model, test.select("id", "y", *feat.NAMES), feat.NAMES, 10)
 
 
+#: A linear score of whole numbers, the same in any engine.
+FIXED = {"DomainLength": 3, "NoOfSubDomain": 11, "TLDLength": -7, "NoOfLettersInURL": 1, "NoOfDegitsInURL": 5, "NoOfOtherSpecialCharsInURL": 4}
+
+
+def fixed_score(rows, keep):
+    """``keep`` and ``p``: the fixed score."""
+    return rows.select(*keep, sum((F.col(c) * k for c, k in FIXED.items()), F.lit(0)).cast("double").alias("p"))
+
+
+def fixed_sql(name=str) -> str:
+    return " + ".join(f"{k} * {name(c)}" for c, k in FIXED.items())
+
+
+_KEYS = "[" + ", ".join("[" + ", ".join(map(str, datasets.permutation_keys(42_000 + r))) + "]" for r in range(10)) + "]"
+_SWAP = "case when (((((greatest(x, (k % n + n - x) % n) % 2147483647) * 48271 + k % 2147483647) % 2147483647) * 69621 % 2147483647) // 65536) % 2 = 1 then (k % n + n - x) % n else x end"
+
+
+@query(
+    FEAT.rstrip()
+    + f""", numbered as (select *, (row_number() over (order by md5('42|' || id::varchar), id) - 1)::bigint at_, count(*) over () n from feats),
+moved as (select *, list_reduce(list_concat([at_], ks), lambda x, k: {_SWAP}) other from (select numbered.*, unnest({_KEYS}) ks, unnest(range(10)) r from numbered)),
+scores as (
+  select '' feature, 0 r, y, ({fixed_sql()})::double p from numbered union all """
+    + " union all ".join(f"select '{f}', a.r, a.y, ({fixed_sql(lambda c, f=f: ('b.' if c == f else 'a.') + c)})::double from moved a join numbered b on a.other = b.at_" for f in feat.NAMES)
+    + """),
+h as (select feature, r, p, sum(y)::double k, sum(1 - y)::double m from scores group by all),
+auc as (select feature, r, sum(m * (cp - k / 2)) / (sum(k) * sum(m)) auc from (select *, sum(k) over (partition by feature, r order by p desc) cp from h) group by all)
+select a.feature, round(avg(b.auc - a.auc), 6) mean, round(stddev_pop(b.auc - a.auc), 6) std from auc a join auc b on b.feature = '' where a.feature <> '' group by a.feature"""
+)
+def permutation_fixed(spark, d):
+    """Permutation importance of the features in a fixed score, over ten seeded bijections."""
+    return rounded(models.permutation_importance(fixed_score, labelled_features(spark, d), feat.NAMES, 10), "mean", "std")
+
+
 @query()
 def view_experiment(spark, d):
     """The same model on the features of two views."""
