@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from urlsieve.operators import datasets, explain, history, metrics
+from urlsieve.operators import bootstrap, datasets, explain, history, metrics
 from urlsieve.streaming import jobs
 
 
@@ -31,7 +31,7 @@ def test_auc_and_thresholds_against_brute_force(scores):
 
 def test_identical_scores_gain_nothing(scores):
     _, df = scores
-    row = metrics.bootstrap_gain(df.withColumn("p2", F.col("p")), reps=20).first()
+    row = bootstrap.bootstrap_gain(df.withColumn("p2", F.col("p")).withColumn("id", F.monotonically_increasing_id()), reps=20).first()
     assert (row["mean"], row["ci_lo"], row["ci_hi"]) == (0, 0, 0)
 
 

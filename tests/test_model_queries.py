@@ -1,8 +1,8 @@
 from types import SimpleNamespace
 
 from urlsieve.functions import features as feat
-from urlsieve.operators import metrics, models
-from urlsieve.plans import data_queries, history_queries
+from urlsieve.operators import models
+from urlsieve.plans import history_queries
 
 
 def test_registered_model_queries_run_the_whole_survey(spark, monkeypatch):
@@ -12,9 +12,7 @@ def test_registered_model_queries_run_the_whole_survey(spark, monkeypatch):
     monkeypatch.setattr(history_queries, "parts", lambda s, d: (rows, rows))
     for name in ("compare", "ablation", "fit", "importances", "permutation_importance"):
         monkeypatch.setattr(models, name, note(name))
-    monkeypatch.setattr(metrics, "bootstrap_gain", note("bootstrap_gain"))
-    monkeypatch.setattr(data_queries.V, "scored", lambda s, d: rows)
-    for q in (history_queries.model_grid, history_queries.research_models, history_queries.ablation, history_queries.feature_importance, history_queries.permutation_importance, data_queries.bootstrap_gain):
+    for q in (history_queries.model_grid, history_queries.research_models, history_queries.ablation, history_queries.feature_importance, history_queries.permutation_importance):
         q(spark, "")
     (grid, _), (research, _) = seen["compare"]
     assert tuple(grid[2]) == tuple(research[2]) == feat.NAMES and len(grid) == 4
@@ -24,4 +22,3 @@ def test_registered_model_queries_run_the_whole_survey(spark, monkeypatch):
     assert [len(c) for c in seen["ablation"][0][0][2].values()] == [17] + [16] * 10 + [12, 7]
     assert seen["fit"][0][0][2].getNumTrees() == 200
     assert tuple(seen["permutation_importance"][0][0][2]) == feat.NAMES and seen["permutation_importance"][0][0][3] == 10
-    assert seen["bootstrap_gain"][0][1] == {"reps": 1000}

@@ -234,29 +234,9 @@ def select_model(results: DataFrame, incumbent: str) -> DataFrame:
     return best.select(F.coalesce("best", F.lit(incumbent)).alias("model"), F.col("best").isNotNull().alias("replaced"))
 
 
-def bootstrap_gain(df: DataFrame, cap: float = 0.05, reps: int = 200, a: str = "p", b: str = "p2") -> DataFrame:
-    """``mean, ci_lo, ci_hi`` of the gain in recall under a false-positive cap of score ``b`` over ``a``.
-
-    A paired Poisson bootstrap, stratified by class through the totals: each cell of equal ``(a, b, y)`` draws a count for each
-    repetition from a seeded hash by inversion (normal beyond 30 rows), so repetitions are rows and nothing is collected."""
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b"), "y").agg(F.count("*").alias("c"))
-    drawn = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), "rep", "a", "b", "y"), F.lit(1 << 40)) + 0.5) / (1 << 40)
-    lam = F.col("c").cast("double")
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(80)),
-        F.struct(F.exp(-lam).alias("t"), F.exp(-lam).alias("s"), F.lit(0).alias("k")),
-        lambda s, i: F.struct((s["t"] * lam / i).alias("t"), (s["s"] + s["t"] * lam / i).alias("s"), (s["k"] + F.when(s["s"] < unit(1), 1).otherwise(0)).alias("k")),
-        lambda s: s["k"],
-    )
-    normal = F.greatest(F.round(lam + F.sqrt(lam) * F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))), F.lit(0.0)).cast("int")
-    drawn = drawn.withColumn("w", F.when(F.col("c") > 30, normal).otherwise(steps))
-    gains = None
-    for side in ("a", "b"):
-        at = drawn.groupBy("rep", F.col(side).alias("s")).agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-        total = at.groupBy("rep").agg(F.sum("neg").alias("all_neg"), F.sum("pos").alias("all_pos"))
-        ranked = prefix_sum(at, "s", ("neg",), buckets=16, by=("rep",)).join(total, "rep")
-        caught = ranked.groupBy("rep").agg((F.sum(F.when(F.col("cum_neg") <= F.floor(cap * F.col("all_neg")), F.col("pos")).otherwise(0)) / F.max("all_pos")).alias(f"recall_{side}"))
-        gains = caught if gains is None else gains.join(caught, "rep")
-    gain = F.col("recall_b") - F.col("recall_a")
-    return gains.agg(F.avg(gain).alias("mean"), F.percentile(gain, F.lit(0.025)).alias("ci_lo"), F.percentile(gain, F.lit(0.975)).alias("ci_hi"))
+def linear_percentile(values, share: float) -> float:
+    """The percentile of sorted values, between two of them on a line."""
+    at = share * (len(values) - 1)
+    low = int(at)
+    high = min(low + 1, len(values) - 1)
+    return float(values[low] + (values[high] - values[low]) * (at - low))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from urlsieve.functions import features as feat
 from urlsieve.functions import url as u
 from urlsieve.operators import datasets as D
+from urlsieve.operators import bootstrap as B
 from urlsieve.operators import metrics as M
 from urlsieve.operators import models, urls
 from urlsieve.plans import sql as S
@@ -215,9 +216,26 @@ def threshold_criteria(spark, d):
     return rounded(M.threshold_criteria(V.scored(spark, d)), *RATES)
 
 
-@query()
+_DRAWN = f"select id, y, p, p2, r, ((id % {B.MODULUS} * {B.MIX[0]}) % {B.MODULUS} + r * {B.MIX[1]}) % {B.MODULUS} h from (select id::bigint id, y, p, p2, unnest(range(1, 1001)) r from scored)"
+for _shift, _by in zip(B.SHIFTS, B.MIX):
+    _DRAWN = f"select id, y, p, p2, r, (xor(h, h >> {_shift}) * {_by}) % {B.MODULUS} h from ({_DRAWN})"
+
+
+def _recall_sql(score: str) -> str:
+    return f"""(select r, coalesce(sum(k) filter (cn <= floor(0.05 * n)), 0) / nullif(any_value(t), 0)::double recall from (
+    select r, {score}, sum(w * y) k, sum(sum(w * (1 - y))) over (partition by r order by {score} desc) cn, sum(sum(w * (1 - y))) over (partition by r) n, sum(sum(w * y)) over (partition by r) t
+    from drawn group by r, {score}) group by r)"""
+
+
+@query(
+    SC.rstrip() + f""", drawn as (
+  select r, y, p, p2, len(list_filter([{", ".join(map(str, B.CUTS))}], lambda c: c <= h)) w
+  from ({_DRAWN})),
+gains as (select b.recall - a.recall g from {_recall_sql("p")} a join {_recall_sql("p2")} b using (r))
+select round(avg(g), 6) mean, round(quantile_cont(g, 0.025), 6) ci_lo, round(quantile_cont(g, 0.975), 6) ci_hi from gains"""
+)
 def bootstrap_gain(spark, d):
-    return M.bootstrap_gain(V.scored(spark, d), reps=1000)
+    return rounded(B.bootstrap_gain(V.scored(spark, d), reps=1000), "mean", "ci_lo", "ci_hi")
 
 
 @query(SC + "select id % 3 = 0 subset, count(*)::bigint n, round(avg((p >= 0.5)::int) filter (y = 1), 6) recall, round(avg((p >= 0.5)::int) filter (y = 0), 6) false_positive_rate from scored group by 1")
