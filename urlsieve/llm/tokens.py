@@ -16,6 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 MAX_VOCABULARY = 64 << 20
+#: Shorter texts have no runs that the fast encoder gives up on.
+LONG = 1 << 18
 _ENCODERS: dict[tuple[int, bool], object] = {}
 
 
@@ -54,14 +56,13 @@ def encoder(vocabulary: Broadcast, added: bool = False):
         spec = json.loads(vocabulary.value)
         byte_of, special = _byte_of(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        of = lambda found: tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=found)
-        plain, marked = of({}), of(special) if added and special else None
+        fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> list[int]:
+            if len(text) < LONG and not (added and any(t in text for t in special)):
+                return fast.encode_ordinary(text)
             try:
-                if marked and any(t in text for t in special):
-                    return marked.encode(text, allowed_special="all")
-                return plain.encode(text, disallowed_special=())
+                return fast.encode(text, allowed_special="all" if added else set(), disallowed_special=())
             except ValueError:
                 return _library(vocabulary.value, added).encode(text, add_special_tokens=False).ids
 
