@@ -15,11 +15,12 @@ from urlsieve.operators import metrics as M
 from urlsieve.operators import datasets, models, urls
 from urlsieve.plans import sql as S
 from urlsieve.plans.data_queries import FEAT, rounded, split
-from urlsieve.plans.registry import query
+from urlsieve.plans.registry import ORACLE, query
 from urlsieve.plans.url_queries import labelled_features
 from urlsieve.sources import views as V
 from urlsieve.sources.tables import keep_table, shared_folder
 from urlsieve.streaming import jobs as J
+from urlsieve.streaming import stateful
 
 HI, SC = S.with_("history"), S.with_("scored")
 _DAY = "scanned_at::date"
@@ -219,6 +220,38 @@ def result_reuse(spark, d):
     return J.result_reuse(rows, 3600.0).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "scored_at")})
 
 
+def _phased(spark, rows, start, key: str):
+    """Runs a stream over ``rows`` (with ``ts``) in three parts by time, with a restart from its checkpoint before each, and then with
+    a row far in the future, which only moves the watermark.  Rows come up to an hour out of order.  The result."""
+    base = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
+    late = F.col("ts").cast("double") + F.pmod(F.col("id"), F.lit(7)) * 600
+    limits = rows.agg(F.min(late).alias("a"), F.max(late).alias("b"))
+    part = F.least(F.floor(3 * (late - F.col("a")) / (F.col("b") - F.col("a") + 1)), F.lit(2)).cast("int")
+    keep_at = f"{base}/arrivals"
+    rows.join(F.broadcast(limits)).withColumn("_part", part).drop("a", "b").write.partitionBy("_part").parquet(keep_at)
+    last = rows.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast(rows.schema["id"].dataType).alias("id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts")), allowMissingColumns=True)
+    for i in range(4):
+        (last if i == 3 else spark.read.schema(rows.schema).parquet(f"{keep_at}/_part={i}")).write.mode("append").parquet(f"{base}/in")
+        with stateful.rocksdb(spark):
+            source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+            start(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").where(F.col(key).isNotNull())
+
+
+@query(ORACLE["rate_limit"])
+def rate_limit_stream(spark, d):
+    """The limit over a stream with restarts, in event time."""
+    rows = V.history(spark, d).select("client", "id", F.col("scanned_at").alias("ts"))
+    return _phased(spark, rows, lambda s: stateful.rate_limit(s, 3, 3600.0, "2 hours"), "client").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(ORACLE["result_reuse"])
+def result_reuse_stream(spark, d):
+    """Reuse of results over a stream with restarts, in event time."""
+    rows = V.history(spark, d).select(F.concat(F.lit("https://"), F.col("host")).alias("origin"), "id", F.col("scanned_at").alias("ts"), (F.col("prediction") != "Phishing").alias("ok"))
+    return _phased(spark, rows, lambda s: stateful.result_reuse(s, 3600.0, "2 hours"), "origin").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "scored_at")})
+
+
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 

@@ -1,20 +1,21 @@
-"""Request streams: scoring, rate limits, result reuse and daily counts, each with a batch twin."""
+"""Request streams: scoring and daily counts, and the batch twins of rate limits and result reuse (see ``stateful``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMITED = "client long, id long, ts timestamp, allowed boolean, retry_after int"
 REUSED = "origin string, id long, ts timestamp, fresh boolean, scored_at timestamp"
 
 
-def limit_hits(seconds: list[float], recent: list[float], most: int, window: float) -> list[tuple[bool, int]]:
+def limit_hits(seconds: Iterable[float], recent: deque[float], most: int, window: float) -> list[tuple[bool, int]]:
     """Sliding log: a hit is allowed if fewer than ``most`` allowed hits are younger than the window; ``recent`` is carried on."""
     out = []
     for now in seconds:
@@ -22,7 +23,7 @@ def limit_hits(seconds: list[float], recent: list[float], most: int, window: flo
             out.append((True, 0))
             continue
         while recent and now - recent[0] >= window:
-            recent.pop(0)
+            recent.popleft()
         if len(recent) >= most:
             out.append((False, max(1, int(window - (now - recent[0])) + 1)))
         else:
@@ -31,9 +32,8 @@ def limit_hits(seconds: list[float], recent: list[float], most: int, window: flo
     return out
 
 
-def _limited(frame: pd.DataFrame, recent: list[float], most: int, window: float) -> pd.DataFrame:
-    marks = limit_hits([t.timestamp() for t in frame["ts"]], recent, most, window)
-    return frame[["client", "id", "ts"]].assign(allowed=[a for a, _ in marks], retry_after=pd.array([r for _, r in marks], "int32"))
+def seconds_of(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64) / 1e6
 
 
 def rate_limit(requests: DataFrame, most: int = 30, window: float = 60.0) -> DataFrame:
@@ -42,9 +42,10 @@ def rate_limit(requests: DataFrame, most: int = 30, window: float = 60.0) -> Dat
     last allowed hits, so a client that never pauses takes long, but no memory."""
     rows = _stretches(requests.select("client", "id", "ts"), "client", window)
 
-    def step(frame: pd.DataFrame, recent: list[float] | None) -> tuple[pd.DataFrame, list[float]]:
-        recent = [] if recent is None else recent
-        return _limited(frame, recent, most, window), recent
+    def step(frame: pd.DataFrame, recent: deque[float] | None) -> tuple[dict[str, list], deque[float]]:
+        recent = deque() if recent is None else recent
+        marks = limit_hits(seconds_of(frame["ts"]), recent, most, window)
+        return {"allowed": [a for a, _ in marks], "retry_after": [r for _, r in marks]}, recent
 
     return _streamed(rows, "client", step, LIMITED)
 
@@ -62,69 +63,53 @@ def _stretches(rows: DataFrame, key: str, window: float) -> DataFrame:
     return rows.withColumn("_s", begins).withColumn("_g", F.floor(began / (window * STRETCH))).drop("_s")
 
 
-def _streamed(rows: DataFrame, key: str, step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]], schema: str) -> DataFrame:
-    """``step`` over the rows of each stretch (:func:`_stretches`) in the order of time, in pieces; it hands its state on from piece
-    to piece, and gets None at a stretch's beginning."""
+def _streamed(rows: DataFrame, key: str, step: Callable[[pd.DataFrame, object], tuple[dict[str, list], object]], schema: str) -> DataFrame:
+    """``step`` over the rows of each stretch (:func:`_stretches`) in the order of time, in pieces; it gives the columns that it adds and
+    hands its state on from piece to piece, and gets None at a stretch's beginning."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
         for frame in frames:
-            for name, piece in frame.groupby([key, "_g"], sort=False, dropna=False):
-                name = tuple(None if pd.isna(x) else x for x in name)
+            if frame.empty:
+                continue
+            names = [frame[c] for c in (key, "_g")]
+            same = np.logical_and.reduce([(n.eq(n.shift()) | (n.isna() & n.shift().isna())).to_numpy() for n in names])
+            same[0] = False
+            edge, made = np.flatnonzero(~same), []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(frame)]):
+                name = tuple(None if pd.isna(n.iat[a]) else n.iat[a] for n in names)
                 if name != now:
                     now, state = name, None
-                out, state = step(piece, state)
-                yield out
+                got, state = step(frame.iloc[a:b], state)
+                made.append(got)
+            yield frame[[key, "id", "ts"]].assign(**{c: [x for part in made for x in part[c]] for c in made[0]})
 
-    return rows.repartition(key, "_g").sortWithinPartitions(key, "_g", "ts", "id").mapInPandas(run, schema)
+    # a number of its own, or the adaptive planner would merge small tasks to one
+    return rows.repartition(parts, key, "_g").sortWithinPartitions(key, "_g", "ts", "id").mapInPandas(run, schema)
 
 
-def rate_limit_stream(requests: DataFrame, most: int = 30, window: float = 60.0) -> DataFrame:
-    """The same over a stream; state is the times of the last allowed hits, dropped when a client is idle for the window."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        out = _limited(pd.concat(list(frames)).sort_values(["ts", "id"]), recent, most, window)
-        state.update((recent,))
-        state.setTimeoutDuration(int(window * 1000))
-        yield out
-
-    return requests.select("client", "id", "ts").groupBy("client").applyInPandasWithState(step, LIMITED, "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _reused(frame: pd.DataFrame, scored_at, ttl: float) -> tuple[pd.DataFrame, object]:
+def reuse(times: Iterable, oks: Iterable[bool], scored_at, ttl: float) -> tuple[list[bool], list, object]:
+    """Which scans are scored anew, when the result that each has was made, and the time of the result that is kept."""
     fresh, at = [], []
-    for ts, ok in zip(frame["ts"], frame["ok"]):
+    for ts, ok in zip(times, oks):
         new = scored_at is None or (ts - scored_at).total_seconds() >= ttl
         fresh.append(new)
         at.append(ts if new else scored_at)
         if new:
             scored_at = ts if ok else None  # failures are not kept
-    return frame[["origin", "id", "ts"]].assign(fresh=fresh, scored_at=at), scored_at
+    return fresh, at, scored_at
 
 
 def result_reuse(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
     """Batch twin: which scans of ``origin, id, ts, ok`` are scored anew and which reuse a result of their origin. An origin's
     scans are cut where it pauses for the whole time to live, and streamed through like those of :func:`rate_limit`."""
-    rows = _stretches(scans.select("origin", "id", "ts", "ok"), "origin", ttl)
-    return _streamed(rows, "origin", lambda frame, at: _reused(frame, at, ttl), REUSED)
-
-
-def result_reuse_stream(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = pd.Timestamp(state.get[0]) if state.exists and state.get[0] is not None else None
-        out, scored_at = _reused(pd.concat(list(frames)).sort_values(["ts", "id"]), before, ttl)
-        state.update((scored_at,))
-        state.setTimeoutDuration(int(ttl * 1000))
-        yield out
-
-    return scans.select("origin", "id", "ts", "ok").groupBy("origin").applyInPandasWithState(step, REUSED, "scored_at timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def step(frame: pd.DataFrame, at) -> tuple[dict[str, list], object]:
+        fresh, scored_at, kept = reuse(frame["ts"], frame["ok"], at, ttl)
+        return {"fresh": fresh, "scored_at": scored_at}, kept
+
+    return _streamed(_stretches(scans.select("origin", "id", "ts", "ok"), "origin", ttl), "origin", step, REUSED)
 
 
 def window_hits(requests: DataFrame, window: int = 60) -> DataFrame:
