@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsieve.functions import url as u
+from urlsieve.sources.tables import drop_folder, drop_table, keep_table
 
 PREDICTIONS, RISKS, SOURCES = ("Safe", "Suspicious", "Phishing"), ("Low", "Medium", "High"), ("web", "extension", "api")
 SUMMARY = ("id", "scanned_at", "url", "prediction", "risk_level", "confidence", "source")
@@ -70,6 +71,24 @@ def delete(scans: DataFrame, ids: DataFrame) -> DataFrame:
     return scans.join(ids.select("id"), "id", "left_anti")
 
 
+def rewrite_without(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """Delete the rows of ``ids`` from a table of :func:`append`: one row ``deleted, kept, days`` (rows of the whole table; days that
+    were touched).  Only days that hold such rows are written anew, first to a table of their own; the others keep their files."""
+    rows, gone = spark.read.parquet(path), ids.select("id").where("id is not null").distinct()
+    hit = rows.join(gone, "id", "left_semi").groupBy("day").agg(F.count("*").alias("deleted")).collect()  # a row for each day
+    days = [r["day"] for r in hit]
+    touched = rows.where(F.col("day").isin(days)) if None not in days else rows.where(F.col("day").isNull() | F.col("day").isin([d for d in days if d]))
+    deleted, total = sum(r["deleted"] for r in hit), rows.count()
+    if days:
+        left = keep_table(touched.join(gone, "id", "left_anti").select(*rows.columns), "history-left")
+        still = {r["day"] for r in left.select("day").distinct().collect()}
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        for day in set(days) - still:  # a day without rows is not written, so its folder goes
+            drop_folder(spark, f"{path}/day={day if day is not None else '__HIVE_DEFAULT_PARTITION__'}")
+        drop_table(left)
+    return spark.createDataFrame([(deleted, total - deleted, len(days))], "deleted long, kept long, days int")
+
+
 def counts(scans: DataFrame) -> DataFrame:
     """``kind, value, n`` of all predictions, risk levels and sources, 0 included, from one pass."""
     spark = scans.sparkSession

@@ -115,6 +115,14 @@ def split_fingerprint(spark, d):
     return D.fingerprint(split(spark, d))
 
 
+_LEVEL = "(select split, sum(n) n, substr(at_, 1, {0}) at_, sha256(string_agg(at_ || ':' || d, ',' order by at_ || ':' || d)) d from {1} group by split, substr(at_, 1, {0}))"
+
+
+@query(SPLIT + " select split, n::bigint n, d sha256 from " + _LEVEL.format(0, _LEVEL.format(3, _LEVEL.format(6, "(select split, 1 n, sha256(url) at_, sha256(url) d from splits)"))))
+def split_digest(spark, d):
+    return D.digest_tree(split(spark, d))
+
+
 @query(S.with_("labelled") + "select id, label from (select *, row_number() over (partition by label order by md5('42|' || id::varchar), id) r from labelled) where r <= 5")
 def sample_per_group(spark, d):
     """Five examples of each class: the number is the operator's purpose."""

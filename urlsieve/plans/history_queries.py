@@ -71,6 +71,16 @@ def history_delete(spark, d):
     return H.delete(rows, rows.where("prediction = 'Phishing'").select("id")).select("id", "prediction")
 
 
+@query(HI + f", gone as (select id from history where prediction = 'Phishing' and id % 3 = 0 or {_DAY} = date '2024-01-05') select count(*) filter (id in (select id from gone))::bigint deleted, count(*) filter (id not in (select id from gone))::bigint kept, count(distinct {_DAY}) filter (id in (select id from gone))::int as \"days\", sum(id) filter (id not in (select id from gone))::bigint ids from history")
+def history_rewrite(spark, d):
+    """A third of the phishing scans and one whole day deleted from the table partitioned by day, with the counts."""
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    rows = V.history(spark, d).select("id", "scanned_at", "url", "prediction")
+    H.append(rows, path)
+    done = H.rewrite_without(spark, path, rows.where("prediction = 'Phishing' and id % 3 = 0 or to_date(scanned_at) = date '2024-01-05'").select("id"))
+    return done.join(F.broadcast(spark.read.parquet(path).agg(F.sum("id").alias("ids"))))
+
+
 @query("select event_id id, user_id client, json_valid(props) ok, (json_extract_string(props, '$.k'))::bigint as k from events")
 def history_get(spark, d):
     """Details of every scan with its JSON parsed: whether it is JSON, and the field it holds."""
@@ -220,13 +230,14 @@ def result_reuse(spark, d):
     return J.result_reuse(rows, 3600.0).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "scored_at")})
 
 
-def _phased(spark, rows, start, key: str):
+def _phased(spark, rows, start, key: str, late=None, listener=None):
     """Runs a stream over ``rows`` (with ``ts``) in three parts by time, with a restart from its checkpoint before each, and then with
-    a row far in the future, which only moves the watermark.  Rows come up to an hour out of order.  The result."""
+    a row far in the future, which only moves the watermark.  Rows come up to an hour out of order, those of ``late`` in the last part."""
     base = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
-    late = F.col("ts").cast("double") + F.pmod(F.col("id"), F.lit(7)) * 600
-    limits = rows.agg(F.min(late).alias("a"), F.max(late).alias("b"))
-    part = F.least(F.floor(3 * (late - F.col("a")) / (F.col("b") - F.col("a") + 1)), F.lit(2)).cast("int")
+    at = F.col("ts").cast("double") + F.pmod(F.col("id"), F.lit(7)) * 600
+    limits = rows.agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    part = F.least(F.floor(3 * (at - F.col("a")) / (F.col("b") - F.col("a") + 1)), F.lit(2)).cast("int")
+    part = part if late is None else F.when(late, 2).otherwise(part)
     keep_at = f"{base}/arrivals"
     rows.join(F.broadcast(limits)).withColumn("_part", part).drop("a", "b").write.partitionBy("_part").parquet(keep_at)
     last = rows.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast(rows.schema["id"].dataType).alias("id"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts")), allowMissingColumns=True)
@@ -234,7 +245,8 @@ def _phased(spark, rows, start, key: str):
         (last if i == 3 else spark.read.schema(rows.schema).parquet(f"{keep_at}/_part={i}")).write.mode("append").parquet(f"{base}/in")
         with stateful.rocksdb(spark):
             source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-            start(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+            q = start(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            listener.wait(q) if listener else q.awaitTermination()
     return spark.read.parquet(f"{base}/out").where(F.col(key).isNotNull())
 
 
@@ -255,6 +267,23 @@ def result_reuse_stream(spark, d):
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+_LATE = "event_id % 50 = 0 and ts < timestamp '2024-01-08'"
+
+
+@query(f"select (ts::date)::varchar as \"day\", event_type prediction, count(*)::bigint n, count(*) filter (not ({_LATE}))::bigint closed, count(*) filter ({_LATE})::bigint missing, (select count(*) from events where {_LATE})::bigint late from events group by 1, 2")
+def stream_closed_days(spark, d):
+    """Daily counts in append mode over restarts, some rows weeks late: each day comes out once, and what the closed days lack is what
+    the listener has counted."""
+    rows = V.load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("prediction"))
+    late, listener = (F.col("id") % 50 == 0) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp")), J.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        closed = _phased(spark, rows, lambda s: J.closed_days(s, "2 hours"), "prediction", late, listener)
+    finally:
+        spark.streams.removeListener(listener)
+    return J.reconciled(rows, closed).select(F.col("day").cast("string").alias("day"), "prediction", "n", "closed", "missing", F.lit(listener.total).cast("long").alias("late"))
+
+
 @query(f"select event_type prediction, (ts::date)::varchar as \"day\", count(*)::bigint n from events group by 1, 2")
 def stream_daily(spark, d):
     """Daily counts by a stream over the events, in complete mode."""

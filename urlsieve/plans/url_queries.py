@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from urlsieve.functions import features as feat
 from urlsieve.functions import url as u
-from urlsieve.operators import datasets, urls
+from urlsieve.operators import datasets, parity, urls
 from urlsieve.plans import sql as S
 from urlsieve.plans.registry import query
 from urlsieve.sources import views as V
@@ -258,6 +258,47 @@ def feature_parity(spark, d):
     return a.join(b, "page_id").agg(F.array(*cells).alias("a")).select(F.inline("a"))
 
 
+_CUT = "case page_id % 4 when 1 then substr(url, 1, length(url) - 1) when 2 then substr(url, 1, length(url) - 5) else url end"
+_HOST_LEVEL = ", ".join(f"w.{n}" if n in parity.HOST_LEVEL else f"c.{n} + (c.page_id % 8 = 3)::int {n}" if n == "NoOfDegitsInURL" else f"case when c.page_id % 8 = 3 then c.{n} + 0.01 else c.{n} end {n}" if "Ratio" in n else f"c.{n}" for n in feat.NAMES)
+_STORED = (
+    S.with_("labelled", extra=S.PRIOR) + ", whole as (" + _features_sql("select page_id, url mi from pages") + "), cut_ as (" + _features_sql(f"select page_id, {_CUT} mi from pages")
+    + f"), stored as (select c.page_id, {_HOST_LEVEL} from cut_ c join whole w using (page_id))\n"
+)
+
+
+def stored_features(spark, d):
+    """``page_id, url`` and features as another program may have stored them: of some urls only a part was read (but for what depends on
+    the host), and in some rows digits and ratios are off."""
+    pages, known = load(spark, d, "pages").select("page_id", "url"), prior(spark, d)
+    n = F.length("url")
+    cut = F.when(F.col("page_id") % 4 == 1, F.substring("url", F.lit(1), n - 1)).when(F.col("page_id") % 4 == 2, F.substring("url", F.lit(1), n - 5)).otherwise(F.col("url"))
+    whole = urls.with_features(pages, known, "url").select("page_id", *(F.col(c).alias(f"w_{c}") for c in parity.HOST_LEVEL))
+    off = F.col("page_id") % 8 == 3
+    rows = urls.with_features(pages.withColumn("cut", cut), known, "cut").join(whole, "page_id")
+    moved = {c: F.col(f"w_{c}") for c in parity.HOST_LEVEL} | {"NoOfDegitsInURL": F.col("NoOfDegitsInURL") + off.cast("int")} | {c: F.when(off, F.col(c) + 0.01).otherwise(F.col(c)) for c in feat.NAMES if "Ratio" in c}
+    return rows.withColumns(moved).select("page_id", "url", *feat.NAMES)
+
+
+_AGREES = "round(avg(coalesce(abs(s.{0} - {1}.{0}) <= {2} + 1e-5 * abs({1}.{0}), false)::int), 6)"
+
+
+@query(
+    _STORED
+    + " union all ".join(
+        f" select '{n}' feature, {_AGREES.format(n, 'w' if n in parity.HOST_LEVEL else 'c', parity.tolerance(n))} prefix_share, {_AGREES.format(n, 'w', parity.tolerance(n))} whole_share from stored s join cut_ c using (page_id) join whole w using (page_id)"
+        for n in feat.NAMES
+    )
+)
+def parity_audit(spark, d):
+    out = parity.audit(stored_features(spark, d), prior(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in ("prefix_share", "whole_share")})
+
+
+@query("select (length(" + _CUT + ") - length(url))::bigint as \"offset\", count(*)::bigint as \"rows\", 0::bigint rejected, count(*) filter (regexp_extract(url, '^([^:]*://[^/?#]*)', 1) <> lower(regexp_extract(url, '^([^:]*://[^/?#]*)', 1)))::bigint as \"changed\" from pages group by 1")
+def parity_offsets(spark, d):
+    return parity.offsets(stored_features(spark, d))
+
+
 @query("select unnest(['" + "', '".join(feat.NAMES) + "']) name, count(*)::bigint as rows from pages group by 1")
 def feature_catalog(spark, d):
     """The schema's features with the rows of the table that carry them."""

@@ -38,12 +38,16 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`keep_table` that nothing will read again."""
     path = getattr(df, "_kept_at", None)
     if path:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        drop_folder(df.sparkSession, path)
 
 
 def load_csv(spark: SparkSession, path: str, schema: str | StructType = LABELLED) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
+import threading
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 LIMITED = "client long, id long, ts timestamp, allowed boolean, retry_after int"
 REUSED = "origin string, id long, ts timestamp, fresh boolean, scored_at timestamp"
@@ -125,6 +126,45 @@ def daily_stream(scans: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return scans.withWatermark("ts", delay).groupBy(day.alias("w"), "prediction").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "prediction", "n")
 
 
+def closed_days(scans: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """The same for append mode: a day comes out once, when the watermark has passed its end.  Each ``id`` counts once, though a source
+    sends it again within the delay; as that step sees single rows, the late rows it drops are counted one by one."""
+    once = scans.select("id", "ts", "prediction").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+    return once.groupBy(F.window("ts", "1 day").alias("w"), "prediction").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "prediction", "n")
+
+
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that queries drop for coming after the watermark, over restarts; ``wait`` for a query's last news."""
+
+    def __init__(self) -> None:
+        self.total, self._ended = 0, defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.total += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        query.awaitTermination()
+        if not self._ended[str(query.runId)].wait(seconds):
+            raise TimeoutError("no news of the query's end")
+
+
+def reconciled(table: DataFrame, closed: DataFrame) -> DataFrame:
+    """``day, prediction, n, closed, missing``: the batch's counts beside those of the stream's closed days, and what these lack."""
+    batch = table.groupBy(F.to_date("ts").alias("day"), "prediction").agg(F.count("*").alias("n"))
+    both = batch.join(closed.select("day", "prediction", F.col("n").alias("closed")), ["day", "prediction"], "full")
+    n, c = F.coalesce("n", F.lit(0)), F.coalesce("closed", F.lit(0))
+    return both.select("day", "prediction", n.alias("n"), c.alias("closed"), (n - c).alias("missing"))
+
+
 def score_stream(requests: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Score each micro-batch with ``score`` and append the rows to record. A batch that is run again replaces its own folder, so
     a restart writes nothing twice."""
