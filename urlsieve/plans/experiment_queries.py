@@ -159,7 +159,7 @@ _LEXICAL = ("hyphens", "entropy", "vowel_ratio", "max_consonant_run", "keyword_h
 def feature_sufficiency(spark, d):
     """The seventeen features against these and the six diagnostic columns of the host."""
     host = V.labelled(spark, d).select("id", u.hostname(F.col("url")).alias("host"))
-    parents = urls.platform_parents(host, 5).select("parent", F.lit(1).alias("on_platform"))
+    parents = urls.platform_parents(host).select("parent", F.lit(1).alias("on_platform"))
     extra = host.withColumn("parent", u.parent_domain(F.col("host"))).join(parents, "parent", "left").fillna(0, ["on_platform"])
     extra = extra.select("id", "on_platform", *(c.alias(n) for n, c in urls.host_lexical(F.col("host")).items()))
     rows, assigned = labelled_features(spark, d), split(spark, d)
