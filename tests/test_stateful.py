@@ -43,3 +43,12 @@ def test_result_reuse_over_restarts_equals_batch_and_late_rows_are_counted(spark
     parts[2] = [*parts[2], ("https://h1", 900, 1_700_000_001, True), ("https://new", 901, 1_700_000_002, True)]
     got, dropped = phases(spark, parts, "origin string, id long, s long, ok boolean", "origin", str(tmp_path / "in"), lambda s: stateful.result_reuse(s, 300.0, "5 minutes"), str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and dropped == 2
+
+
+def test_window_hits_in_pieces(spark):
+    r = random.Random(3)
+    rows = [(r.choice([1, 1, 1, 2, None]), i, 1_700_000_000 + r.randint(0, 400)) for i in range(300)]
+    df = spark.createDataFrame([*rows, (3, 900, None)], "client long, id long, s long").select("client", "id", F.timestamp_seconds("s").alias("ts"))
+    want = {i: sum(c2 == c and s - 20 < s2 <= s for c2, _, s2 in rows) for c, i, s in rows} | {900: 1}
+    for stretch in (1, 3, 1000):
+        assert {x["id"]: x["hits"] for x in jobs.window_hits(df, 20, stretch).collect()} == want

@@ -181,9 +181,9 @@ def origin(url: Column) -> Column:
 
 #: Why a page of such a scheme cannot be scanned.
 SCHEME_REASONS = {
-    "about": "browser page", "chrome": "browser page", "chrome-extension": "extension page", "devtools": "browser page", "edge": "browser page",
-    "view-source": "browser page", "file": "local file", "blob": "in-memory page", "data": "in-memory page", "javascript": "script",
-    "ftp": "not a web page", "mailto": "not a web page", "tel": "not a web page",
+    "about": "browser page", "chrome": "browser page", "chrome-search": "browser page", "chrome-untrusted": "browser page", "chrome-extension": "extension page",
+    "devtools": "browser page", "edge": "browser page", "view-source": "browser page", "file": "local file", "blob": "in-memory page",
+    "data": "in-memory page", "javascript": "script", "ftp": "not a web page",
 }
 
 

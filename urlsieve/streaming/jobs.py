@@ -113,11 +113,18 @@ def result_reuse(scans: DataFrame, ttl: float = 300.0) -> DataFrame:
     return _streamed(_stretches(scans.select("origin", "id", "ts", "ok"), "origin", ttl), "origin", step, REUSED)
 
 
-def window_hits(requests: DataFrame, window: int = 60) -> DataFrame:
-    """Hits of the same client in the last ``window`` seconds, the row itself included."""
-    at = F.unix_micros("ts")
-    w = Window.partitionBy("client").orderBy(at).rangeBetween(-(window * 1_000_000 - 1), 0)
-    return requests.select("client", "id", F.count("*").over(w).alias("hits"))
+def window_hits(requests: DataFrame, window: int = 60, stretch: int = STRETCH) -> DataFrame:
+    """Hits of the same client in the last ``window`` seconds, the row itself included.
+
+    A client's time is cut into pieces of ``stretch`` windows, so a busy client is many tasks' work; a row in the last window of
+    a piece also goes to the next one, where it counts but has no row of its own."""
+    at, long = F.unix_micros("ts"), window * 1_000_000
+    piece = F.floor(F.col("_us") / (long * stretch))
+    rows = requests.select("client", "id", at.alias("_us")).withColumn("_g", piece)
+    tail = F.when((F.col("_g") + 1) * (long * stretch) - F.col("_us") <= long, F.struct((F.col("_g") + 1).alias("g"), F.lit(False).alias("own")))
+    rows = rows.select("client", "id", "_us", F.explode(F.array_compact(F.array(F.struct(F.col("_g").alias("g"), F.lit(True).alias("own")), tail))).alias("_p"))
+    w = Window.partitionBy("client", "_p.g").orderBy("_us").rangeBetween(-(long - 1), 0)
+    return rows.withColumn("hits", F.count("*").over(w)).where("_p.own").select("client", "id", "hits")
 
 
 def daily_stream(scans: DataFrame, delay: str = "10 minutes") -> DataFrame:
