@@ -174,6 +174,17 @@ def explain_items(spark, d):
     return explained(spark, d).select("page_id", F.array_join(keys, ",").alias("keys"))
 
 
+@query(
+    "with e as (" + _EXPLAIN + "), i as (select page_id, case when keys = '' then [':info'] else string_split(keys, ',')[1:8] end l from e)"
+    " select page_id, len(l)::int n, array_to_string(list_transform(l, lambda x: split_part(x, ':', 2)), ',') severities, array_to_string(list_transform(l, lambda x: split_part(x, ':', 1)), ',') keys from i"
+)
+def indicator_severities(spark, d):
+    """The first eight items of each url: their number, severities and keys."""
+    rows = explained(spark, d).select("page_id", X.indicators().alias("i"))
+    text = lambda c: F.array_join(F.transform("i", lambda x: F.coalesce(x[c], F.lit(""))), ",")
+    return rows.select("page_id", F.size("i").alias("n"), text("severity").alias("severities"), text("key").alias("keys"))
+
+
 @query()
 def indicators(spark, d):
     """The first eight items of each url and their messages by severity, as text."""
