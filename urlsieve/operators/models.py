@@ -69,12 +69,21 @@ def weighted(df: DataFrame, balanced: bool) -> DataFrame:
     return df.join(F.broadcast(n.join(F.broadcast(total)).select("y", (F.col("_t") / (2 * F.col("_n"))).alias("w"))), "y")
 
 
+#: Rows that a task of a fit takes at least; iterations over small tables spend their time on starting tasks.
+TASK_ROWS = 20_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than its rows are worth."""
+    return df.coalesce(max(1, -(-df.count() // TASK_ROWS)))
+
+
 def fit(train: DataFrame, columns: Sequence[str], estimator, balanced: bool = True) -> PipelineModel | BoostedTrees:
     if isinstance(estimator, Boosting):
         return estimator.fit(weighted(train, balanced), columns)
     estimator = estimator.copy()
     scale = isinstance(estimator, (C.LogisticRegression, C.LinearSVC, C.MultilayerPerceptronClassifier))
-    return Pipeline(stages=[*assembled(columns, scale=scale), estimator]).fit(weighted(train, balanced))
+    return Pipeline(stages=[*assembled(columns, scale=scale), estimator]).fit(packed(weighted(train, balanced)))
 
 
 def scored(model: PipelineModel | BoostedTrees, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -91,7 +100,7 @@ def scored(model: PipelineModel | BoostedTrees, df: DataFrame, keep: Sequence[st
 
 def compare(train: DataFrame, test: DataFrame, columns: Sequence[str], models: dict[str, object], weightings: Iterable[bool] = (False, True)) -> DataFrame:
     """Metrics of each model and weighting on ``test``: one long score table, one aggregate."""
-    parts = []
+    parts, test = [], packed(test)
     for name, estimator in models.items():
         for balanced in weightings:
             if balanced and not isinstance(estimator, Boosting) and not estimator.hasParam("weightCol"):
