@@ -19,9 +19,9 @@ from urlsieve.operators import metrics as M
 from urlsieve.operators import models, urls
 from urlsieve.plans import sql as S
 from urlsieve.plans.data_queries import _RATES, FEAT, RATES, SC, _metrics_sql, rounded, split
-from urlsieve.plans.history_queries import FIXED, fixed_sql
+from urlsieve.plans.history_queries import FIXED, fixed_score, fixed_sql
 from urlsieve.plans.registry import query
-from urlsieve.plans.url_queries import featured, labelled_features, prior
+from urlsieve.plans.url_queries import _features_sql, featured, labelled_features, prior
 from urlsieve.sources import tables
 from urlsieve.sources import views as V
 
@@ -123,6 +123,17 @@ def disclaimer(spark, d):
     return X.disclaimer(rows, M.binary_metrics(rows)).select("id", "disclaimer")
 
 
+@query(
+    S.with_("labelled", extra=S.PRIOR) + ", f as (" + _features_sql(f"select page_id, {S.HOST_INPUT.format('url')} mi from pages")
+    + f"), s as (select page_id, least(greatest({fixed_sql()}, 0), 200) / 200.0::double p from f) select page_id, round(p, 6) p, case when p < 0.5 then 'Safe' when p >= 0.9 then 'Phishing' else 'Suspicious' end prediction,"
+    " case when p < 0.5 then 'Low' when p >= 0.9 then 'High' else 'Medium' end risk_level from s"
+)
+def predict_fixed(spark, d):
+    """Every page scored by the fixed score, with its risk level: the path of ``predict_urls`` without a fit."""
+    scores = fixed_score(featured(spark, d, "host"), ("page_id",)).withColumn("p", F.least(F.greatest("p", F.lit(0.0)), F.lit(200.0)) / 200)
+    return rounded(X.classify(scores, 0.5, 0.9), "p").select("page_id", "p", "prediction", "risk_level")
+
+
 # --- experiments
 
 
