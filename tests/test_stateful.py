@@ -52,3 +52,13 @@ def test_window_hits_in_pieces(spark):
     want = {i: sum(c2 == c and s - 20 < s2 <= s for c2, _, s2 in rows) for c, i, s in rows} | {900: 1}
     for stretch in (1, 3, 1000):
         assert {x["id"]: x["hits"] for x in jobs.window_hits(df, 20, stretch).collect()} == want
+
+
+def test_keys_share_states_and_are_decided_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    r = random.Random(4)
+    rows = [(r.choice([None, (1 << 60) + 1, *range(20)]), i, 1_700_000_000 + r.randint(0, 600)) for i in range(300)]
+    batch = jobs.rate_limit(spark.createDataFrame(rows, "client long, id long, s long").select("client", "id", F.timestamp_seconds("s").alias("ts")), 2, 60.0)
+    got, dropped = phases(spark, shuffled(r, rows, 50), "client long, id long, s long", "client", str(tmp_path / "in"), lambda s: stateful.rate_limit(s, 2, 60.0, "1 minute"), str(tmp_path / "out"))
+    key = lambda x: (x[1], str(x))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, batch.collect()), key=key) and dropped == 0
