@@ -62,3 +62,12 @@ def test_keys_share_states_and_are_decided_apart(spark, tmp_path, monkeypatch):
     got, dropped = phases(spark, shuffled(r, rows, 50), "client long, id long, s long", "client", str(tmp_path / "in"), lambda s: stateful.rate_limit(s, 2, 60.0, "1 minute"), str(tmp_path / "out"))
     key = lambda x: (x[1], str(x))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, batch.collect()), key=key) and dropped == 0
+
+
+def test_origins_share_states_and_are_decided_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    r = random.Random(5)
+    rows = [(f"https://h{r.randint(1, 20)}", i, 1_700_000_000 + r.randint(0, 5000), r.random() < 0.7) for i in range(400)]
+    batch = jobs.result_reuse(spark.createDataFrame(rows, "origin string, id long, s long, ok boolean").select("origin", "id", F.timestamp_seconds("s").alias("ts"), "ok"), 300.0)
+    got, dropped = phases(spark, shuffled(r, rows, 200), "origin string, id long, s long, ok boolean", "origin", str(tmp_path / "in"), lambda s: stateful.result_reuse(s, 300.0, "5 minutes"), str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and dropped == 0
