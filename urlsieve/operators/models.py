@@ -64,9 +64,12 @@ def weighted(df: DataFrame, balanced: bool) -> DataFrame:
     """``df`` with ``w``: 1, or balanced class weights."""
     if not balanced:
         return df.withColumn("w", F.lit(1.0))
-    n = df.groupBy("y").agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_t"))
-    return df.join(F.broadcast(n.join(F.broadcast(total)).select("y", (F.col("_t") / (2 * F.col("_n"))).alias("w"))), "y")
+    # a number for each class, found once: as a join it would be found anew in each pass of a fit
+    n = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    w = F.lit(None).cast("double")
+    for y in n.keys() - {None}:
+        w = F.when(F.col("y") == y, sum(n.values()) / (2 * n[y])).otherwise(w)
+    return df.withColumn("w", w).where("y is not null")
 
 
 #: Rows that a task of a fit takes at least; iterations over small tables spend their time on starting tasks.

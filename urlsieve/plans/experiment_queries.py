@@ -139,7 +139,8 @@ def predict_fixed(spark, d):
 
 def _tested(rows: DataFrame, assigned: DataFrame, columns, name: str) -> DataFrame:
     """Scores on the test part of a model of the train part."""
-    parts = rows.join(assigned.select("id", "split"), "id")
+    # a fit makes many passes; each reads the table, and none makes features or splits again
+    parts = tables.keep_table(rows.join(assigned.select("id", "split"), "id").select("y", "split", *columns), "parts")
     model = models.fit(parts.where("split = 'train'"), columns, regression())
     return models.scored(model, parts.where("split <> 'train'"), ("y",)).select(F.lit(name).alias("experiment"), F.lit(len(columns)).alias("n_features"), "y", "p")
 
@@ -148,11 +149,11 @@ def _tested(rows: DataFrame, assigned: DataFrame, columns, name: str) -> DataFra
 def methodology(spark, d):
     """The same model under five methods: rows split at random with the label's own host statistic among the columns (a leak) or
     without it, urls kept apart in two views, and hosts kept apart."""
-    full, host = (labelled_features(spark, d, v) for v in ("full", "host"))
+    full, host = (tables.keep_table(labelled_features(spark, d, v).select("id", "y", *feat.NAMES), v) for v in ("full", "host"))
     leak = V.labelled(spark, d).withColumn("h", u.hostname(F.col("url")))
     leak = leak.join(leak.groupBy("h").agg(F.avg("label").alias("host_label")), "h").select("id", "host_label")
-    at_random = D.split_groups(V.labelled(spark, d).select("id", "label"), 42, "id", "label")
-    by_url = D.split_groups(V.labelled(spark, d), 42, "url", "label")
+    at_random = tables.keep_table(D.split_groups(V.labelled(spark, d).select("id", "label"), 42, "id", "label").select("id", "split"), "at-random")
+    by_url = tables.keep_table(D.split_groups(V.labelled(spark, d), 42, "url", "label").select("id", "split"), "by-url")
     runs = [
         _tested(full.join(leak, "id"), at_random, (*feat.NAMES, "host_label"), "A: leaked column, rows at random"),
         _tested(full, at_random, feat.NAMES, "A2: features, rows at random"),
