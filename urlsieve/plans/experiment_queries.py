@@ -174,7 +174,8 @@ def feature_sufficiency(spark, d):
     parents = urls.platform_parents(host).select("parent", F.lit(1).alias("on_platform"))
     extra = host.withColumn("parent", u.parent_domain(F.col("host"))).join(parents, "parent", "left").fillna(0, ["on_platform"])
     extra = extra.select("id", "on_platform", *(c.alias(n) for n, c in urls.host_lexical(F.col("host")).items()))
-    rows, assigned = labelled_features(spark, d), split(spark, d)
+    rows = tables.keep_table(labelled_features(spark, d).select("id", "y", *feat.NAMES), "features")
+    assigned = tables.keep_table(split(spark, d).select("id", "split"), "split")
     runs = [_tested(rows, assigned, feat.NAMES, "features"), _tested(rows.join(extra, "id"), assigned, (*feat.NAMES, *_LEXICAL), "features and host columns")]
     return M.binary_metrics(reduce(DataFrame.union, runs), by=("experiment", "n_features"))
 
