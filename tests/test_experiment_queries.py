@@ -5,7 +5,7 @@ from urlsieve.operators import models
 from urlsieve.plans import experiment_queries as E
 
 
-@pytest.mark.parametrize(("name", "fits"), [("methodology", 5), ("feature_sufficiency", 2)])
+@pytest.mark.parametrize(("name", "fits"), [("methodology", 5), ("feature_sufficiency", 2), ("view_subset_rates", 2)])
 def test_fits_read_tables_and_make_no_features_again(spark, monkeypatch, name, fits):
     plans, fit = [], models.fit
 

@@ -191,9 +191,9 @@ def view_subset_rates(spark, d):
     """Recall and false-positive rate of a model of each view, on hosts with a subdomain and on others."""
     rows = urls.registrable(V.labelled(spark, d).withColumn("host", u.hostname(F.col("url"))), V.psl(spark))
     subset = urls.structure_groups(rows).select("id", "has_subdomain")
-    assigned, out = split(spark, d), []
+    assigned, out = tables.keep_table(split(spark, d).select("id", "split").join(subset, "id"), "split"), []
     for view in ("host", "registrable"):
-        parts = labelled_features(spark, d, view).join(assigned.select("id", "split"), "id").join(subset, "id")
+        parts = tables.keep_table(labelled_features(spark, d, view).join(assigned, "id").select("y", "split", "has_subdomain", *feat.NAMES), "parts")
         model = models.fit(parts.where("split = 'train'"), feat.NAMES, regression())
         scores = models.scored(model, parts.where("split <> 'train'"), ("y", "has_subdomain"))
         out.append(M.subset_rates(scores, F.col("p") >= 0.5, "has_subdomain").select(F.lit(view).alias("view"), "*"))
