@@ -61,3 +61,20 @@ def test_rescored_models_agree_with_their_records(spark):
     assert all(r["agrees"] for r in models.rescore(made, test, recorded).collect())
     off = recorded.withColumn("recorded", F.when((F.col("model") == "lr") & (F.col("metric") == "recall"), F.col("recorded") + 1e-6).otherwise(F.col("recorded")))
     assert [(r["model"], r["metric"]) for r in models.rescore(made, test, off).where("not agrees").collect()] == [("lr", "recall")]
+
+
+def test_fits_of_a_comparison_run_at_once(spark, monkeypatch):
+    from threading import Barrier
+
+    train, test = parts(spark)
+    fit, both = models.fit, Barrier(2)
+
+    def meeting(*args):
+        both.wait(timeout=60)  # breaks unless another fit is there
+        return fit(*args)
+
+    chosen = {"one": C.LogisticRegression(labelCol="y", weightCol="w", maxIter=5), "two": C.LogisticRegression(labelCol="y", weightCol="w", maxIter=9)}
+    want = {k: [r.asDict() for r in models.compare(train, test, NAMES, {k: v}, (False,)).collect()] for k, v in chosen.items()}
+    monkeypatch.setattr(models, "fit", meeting)
+    got = models.compare(train, test, NAMES, chosen, (False,)).collect()
+    assert {r["model"]: [r.asDict()] for r in got} == want

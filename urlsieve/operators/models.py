@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import feature as FT
@@ -101,14 +103,22 @@ def scored(model: PipelineModel | BoostedTrees, df: DataFrame, keep: Sequence[st
     return out.select(*keep, p.alias("p"))
 
 
+#: Fits that :func:`compare` runs at once: many of a fit's steps have fewer tasks than there are cores, or run on the driver.
+FITS = 4
+
+
 def compare(train: DataFrame, test: DataFrame, columns: Sequence[str], models: dict[str, object], weightings: Iterable[bool] = (False, True)) -> DataFrame:
     """Metrics of each model and weighting on ``test``: one long score table, one aggregate."""
-    parts, test = [], packed(test)
-    for name, estimator in models.items():
-        for balanced in weightings:
-            if balanced and not isinstance(estimator, Boosting) and not estimator.hasParam("weightCol"):
-                continue
-            parts.append(scored(fit(train, columns, estimator, balanced), test, ("y",)).select(F.lit(name).alias("model"), F.lit("balanced" if balanced else "none").alias("weighting"), "y", "p"))
+    test = packed(test)
+    weights = lambda estimator: isinstance(estimator, Boosting) or estimator.hasParam("weightCol")
+    runs = [(name, estimator, balanced) for name, estimator in models.items() for balanced in weightings if not balanced or weights(estimator)]
+
+    def one(name: str, estimator, balanced: bool) -> DataFrame:
+        return scored(fit(train, columns, estimator, balanced), test, ("y",)).select(F.lit(name).alias("model"), F.lit("balanced" if balanced else "none").alias("weighting"), "y", "p")
+
+    with ThreadPool(FITS) as pool:
+        inherit = inheritable_thread_target(train.sparkSession)
+        parts = pool.map(lambda fitted: fitted(), [inherit(partial(one, *run)) for run in runs], chunksize=1)
     return metrics.binary_metrics(reduce(DataFrame.union, parts), by=("model", "weighting"))
 
 
